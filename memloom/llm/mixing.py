@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, source: str = "source", most_times: int = M
 
 def mix(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", size: str = "size", source: str = "source",
-    most_times: int = MOST_TIMES,
+    most_times: int = MOST_TIMES, level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """(key, size, source_size, target, taken) for every row of `docs` (key, size, source).
 
@@ -78,17 +78,17 @@ def mix(
     plan = plan.withColumn("left", F.col("target") - F.col("turns") * F.col("source_size"))
     plan = scratch.keep(plan.withColumn("prefix", F.lit(0).cast("long")))
 
-    for bits in range(LEVEL_BITS, HASH_BITS + 1, LEVEL_BITS):
+    for bits in range(level_bits, HASH_BITS + 1, level_bits):
         shift = HASH_BITS - bits
         bucket = F.shiftright("hash", shift)
         open_ = plan.select(F.col("source").alias("_source"), "prefix", "left")
         found = rows.join(open_, F.col("source").eqNullSafe(F.col("_source")))
-        if bits > LEVEL_BITS:
-            found = found.filter(F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix"))
+        if bits > level_bits:
+            found = found.filter(F.shiftright("hash", shift + level_bits) == F.col("prefix"))
         sums = found.groupBy("source", bucket.alias("bucket")).agg(
             F.sum("size").alias("words"), F.first("left").alias("left"), F.min("hash").alias("low"), F.max("hash").alias("high")
         )
-        # at most 2 ** LEVEL_BITS rows of a source, whatever the number of documents
+        # at most 2 ** level_bits rows of a source, whatever the number of documents
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         sums = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("left"))
         edge = sums.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "low", "high")).alias("e"))
@@ -98,9 +98,9 @@ def mix(
             (F.col("e.low") == F.col("e.high")).alias("single"),
         )
         # no edge: the whole bucket fits, which only happens where the budget is the whole source
-        plan = plan.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        plan = plan.drop("words", "single").join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").select(
             "source", "source_size", "target", "turns",
-            F.coalesce("bucket", (F.col("prefix") + 1) * 2**LEVEL_BITS).alias("prefix"),
+            F.coalesce("bucket", (F.col("prefix") + 1) * 2**level_bits).alias("prefix"),
             F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(F.col("left") - F.col("before")).alias("left"),
             F.col("words"), F.coalesce("single", F.lit(True)).alias("single"),
         )
@@ -130,7 +130,8 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source,
-         CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-]+')) END AS BIGINT) AS size,
+         CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
+]+')) END AS BIGINT) AS size,
          CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
