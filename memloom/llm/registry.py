@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from memloom.llm import exact_dedup, mixing, simhash, toxicity
+from memloom.llm import exact_dedup, mixing, pieces, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
+    "op5_pieces": pieces.op5_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLE_SQL = {
