@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from memloom.llm import exact_dedup, mixing, pieces, simhash, toxicity
+from memloom.llm import cotraining, exact_dedup, language, mixing, pieces, repetition, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op5_pieces": pieces.op5_pieces,
+    "op6_repetition": repetition.op6_repetition,
+    "op7_language": language.op7_language,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality": cotraining.op9_quality,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op6_repetition": repetition.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
