@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,11 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

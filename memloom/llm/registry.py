@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.llm import cotraining, exact_dedup, language, mixing, pieces, repetition, simhash, toxicity
+from memloom.llm import cotraining, exact_dedup, language, mixing, pieces, repetition, simhash, suffixes, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language": language.op7_language,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": cotraining.op9_quality,
+    "op10_repeats": suffixes.op10_repeats,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
