@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.llm import cotraining, exact_dedup, language, mixing, pieces, repetition, simhash, suffixes, toxicity
+from memloom.llm import cotraining, exact_dedup, language, mixing, pieces, quotes, repetition, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op1_quotations": quotes.op1_quotations,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_repeats": suffixes.op10_repeats,
 }
 ORACLE_SQL = {
+    "op1_quotations": quotes.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_repetition": repetition.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
