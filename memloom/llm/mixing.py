@@ -53,23 +53,13 @@ def source_targets(sizes: DataFrame, source: str = "source", most_times: int = M
     return rows.select(source, "source_size", "weight", F.coalesce(target, cap.cast("double")).alias("target"))
 
 
-def mix(
-    docs: DataFrame, scratch: Scratch, key: str = "doc_id", size: str = "size", source: str = "source",
-    most_times: int = MOST_TIMES, level_bits: int = LEVEL_BITS,
-) -> DataFrame:
-    """(key, size, source_size, target, taken) for every row of `docs` (key, size, source).
+def mixing_plan(
+    rows: DataFrame, scratch: Scratch, most_times: int = MOST_TIMES, level_bits: int = LEVEL_BITS
+) -> tuple[DataFrame, int]:
+    """(a row per source, shift) of rows (size, source, hash).
 
-    taken = size * (full turns + 1 if the hash is within the threshold). A source's
-    sum of taken is within one row (or one group of rows with equal ids) of its target,
-    on the nearer side. Null source: one source of its own, last. Size 0 (null or empty
-    texts): taken 0. Rows with equal ids share a hash and so are taken together. Empty
-    table: empty result. Reruns agree: nothing depends on the order of rows.
+    Of a source, rows count `turns` times, and once more if hash >> shift is below `limit`.
     """
-    rows = docs.select(
-        F.col(key).alias("_key"), F.col(size).cast("long").alias("size"), F.col(source).alias("source"),
-        row_hash(F.col(key)).alias("hash"),
-    )
-    rows = scratch.keep(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes)
     ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
@@ -112,13 +102,52 @@ def mix(
     takes_edge = F.coalesce(F.col("left") * 2 > F.col("words"), F.lit(False))
     limit = F.col("prefix") + takes_edge.cast("long")
     plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "turns", limit.alias("limit"))
+    return plan, shift
+
+
+def _times(shift: int, most_times: int) -> Column:
+    below = (F.shiftright("hash", shift) < F.col("limit")) & (F.col("turns") < most_times)
+    return F.col("turns") + below.cast("long")
+
+
+def mix(
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", size: str = "size", source: str = "source",
+    most_times: int = MOST_TIMES, level_bits: int = LEVEL_BITS,
+) -> DataFrame:
+    """(key, size, source_size, target, taken) for every row of `docs` (key, size, source).
+
+    taken = size * (full turns + 1 if the hash is within the threshold). A source's
+    sum of taken is within one row (or one group of rows with equal ids) of its target,
+    on the nearer side. Null source: one source of its own, last. Size 0 (null or empty
+    texts): taken 0. Rows with equal ids share a hash and so are taken together. Empty
+    table: empty result. Reruns agree: nothing depends on the order of rows.
+    """
+    rows = docs.select(
+        F.col(key).alias("_key"), F.col(size).cast("long").alias("size"), F.col(source).alias("source"),
+        row_hash(F.col(key)).alias("hash"),
+    )
+    rows = scratch.keep(rows)
+    plan, shift = mixing_plan(rows, scratch, most_times, level_bits)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    extra = ((F.shiftright("hash", shift) < F.col("limit")) & (F.col("turns") < most_times)).cast("long")
     return out.select(
-        F.col("_key").alias(key), "size", "source_size", "target", (F.col("size") * (F.col("turns") + extra)).alias("taken")
+        F.col("_key").alias(key), "size", "source_size", "target", (F.col("size") * _times(shift, most_times)).alias("taken")
     )
 
 
+def draw(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", most_times: int = MOST_TIMES) -> DataFrame:
+    """The rows of the mix, with all columns of `docs`: each row as often as the mix takes it.
+
+    Only a row per source is joined to the texts, which stay where they are.
+    """
+    sized = docs.select(word_count(F.col(text)).alias("size"), "source", row_hash(F.col(key)).alias("hash"))
+    plan, shift = mixing_plan(scratch.keep(sized), scratch, most_times)
+    # the row is packed, so that no column of it can clash with those of the plan
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_own"), row_hash(F.col(key)).alias("hash"))
+    out = out.join(plan, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_times", _times(shift, most_times))
+    out = out.filter("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return out.select("_row.*")
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed: doc_id, size, source_size, target, taken."""
     docs = table(spark, sf_dir, "documents")

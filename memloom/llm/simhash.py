@@ -242,6 +242,20 @@ def simhash_components(
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
+def keep_one(
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 3
+) -> DataFrame:
+    """The rows of `docs` whose key names their component, with all their columns.
+
+    Rows with a null key stay unless a row with a key is in their component. Of rows that
+    share a key all stay if one does.
+    """
+    found = simhash_components(docs, scratch, key, text, width, distance)
+    dropped = found.groupBy(key).agg(F.bool_or(F.col(key).eqNullSafe(F.col("component_id"))).alias("stays"))
+    dropped = scratch.keep(dropped.filter("NOT stays").select(F.col(key).alias("_key")))
+    return docs.join(dropped, docs[key].eqNullSafe(dropped["_key"]), "left_anti")
+
+
 def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

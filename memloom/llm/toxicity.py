@@ -335,6 +335,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
     return out.withColumnRenamed("k", key)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of `docs` that score below `threshold`, with all their columns."""
+    spark = docs.sparkSession
+    python_workers(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        own = [shared.value.scores(shared.value.token_marginals(part)) for _, part in bounded_chunks(texts.fillna("").tolist())]
+        return pd.Series(np.concatenate(own) if own else np.zeros(0))
+
+    return docs.filter(score(F.col(text)) < threshold)
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, held_out, score, predicted, n_spans."""
     docs = table(spark, sf_dir, "documents")
