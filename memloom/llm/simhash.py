@@ -155,12 +155,20 @@ def _visit_rows(blocks: int, distance: int):
 
 
 def _visit_counts(blocks: int, distance: int):
+    """A row per anchor and task: visits are summed up before they leave the task."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchors, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for rows in batches:
             fps = rows["fp"].to_numpy().view(np.uint64)
             for k in range(0, len(fps), 20_000):
                 anchor, n = np.unique(visits(fps[k : k + 20_000], blocks, distance)[0], return_counts=True)
-                yield pd.DataFrame({"anchor": anchor.view(np.int64), "n": n.astype(np.int64)})
+                anchors, at = np.unique(np.concatenate([anchors, anchor]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(anchors)).astype(np.int64)
+                if len(anchors) > 2_000_000:
+                    yield pd.DataFrame({"anchor": anchors.view(np.int64), "n": counts})
+                    anchors, counts = anchors[:0], counts[:0]
+        yield pd.DataFrame({"anchor": anchors.view(np.int64), "n": counts})
 
     return run
 
