@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -37,6 +36,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        # shuffle files of a written table go with its query, not when the driver collects garbage
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def keep(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.made += 1
@@ -45,11 +46,6 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -380,14 +380,12 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     samples = rows.select("id", "rk", "t").mapInPandas(_sample_rows(buckets, blocks), _OUT)
     listed = "kind int, block long, data binary"
     first = scratch.keep(samples.groupBy("bucket").applyInPandas(_first_round(blocks), listed))
-    scratch.release()
     placed = rows.withColumn("block", F.pmod("rk", F.lit(blocks)))
     need = first.filter("kind = 2").select("block", "data")
     strings = placed.select("block", "id", "rk", "t").groupBy("block").cogroup(need.groupBy("block")).applyInPandas(
         _string_rows(buckets, blocks), "bucket long, data binary"
     )
     second = scratch.keep(strings.groupBy("bucket").applyInPandas(_second_round(blocks), listed))
-    scratch.release()
     gone = first.filter("kind = 1").unionAll(second).select("block", "data")
     schema = "k long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
     out = placed.select("block", "k", "rk", "t").groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_finish, schema)
