@@ -26,9 +26,9 @@ from memloom.llm.common import python_workers, table
 from memloom.llm.rolling import mix64
 
 MARK = "▁"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-#: Segments kept per variant in a worker, and the longest that is kept.
-CACHE, CACHE_CHARS = 120_000, 40
+DROPOUT, VARIANTS, SEED = 0.1, 2, 17
+#: Segments kept per variant and generation in a worker, and the longest that is kept.
+CACHE, CACHE_CHARS = 150_000, 40
 _SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _M = (1 << 64) - 1
 
@@ -56,6 +56,7 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for p, _, is_byte in self.vocabulary
         ]
         self.cache: list[dict[str, tuple[int, ...]]] = []
+        self.older: list[dict[str, tuple[int, ...]]] = []
         self.cached: tuple | None = None
         self.ready = True
         return self
@@ -157,6 +158,7 @@ class Pieces:
         variants = max(1, variants) if dropout else 1
         if self.cached != (seed, dropout, variants):
             self.cache, self.cached = [{} for _ in range(variants)], (seed, dropout, variants)
+            self.older = [{} for _ in range(variants)]
         out: list[int] = []
         segments = _SEGMENT.findall(" " + text)
         if variants == 1:
@@ -168,10 +170,12 @@ class Pieces:
         for segment, v in zip(segments, draws):
             ids = cache[v].get(segment)
             if ids is None:
-                ids = self.segment(segment, seed * 1_000_003 + v, dropout)
+                ids = self.older[v].get(segment)
+                if ids is None:
+                    ids = self.segment(segment, seed * 1_000_003 + v, dropout)
                 if len(segment) <= CACHE_CHARS:
-                    if len(cache[v]) >= CACHE:
-                        cache[v].clear()
+                    if len(cache[v]) >= CACHE:  # what is in use moves on to the new generation
+                        self.older[v], cache[v] = cache[v], {}
                     cache[v][segment] = ids
             add(ids)
         return out
