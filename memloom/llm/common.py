@@ -61,6 +61,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the bitmap of keys to drop: 2 ** 16 rows of a long, whatever the number of keys.
+DROP_BITS = 22
+
+
+def drop_keys(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """The rows of `docs` whose key (nulls are equal) is not among `dropped` (one column).
+
+    Most rows stay where they are: a bitmap of fixed size of the dropped keys' hashes is
+    broadcast, and only rows whose bit is set are joined, and so shuffled, with their texts.
+    """
+    name = dropped.columns[0]
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << DROP_BITS))
+    b = bit(F.col(name))
+    bitmap = dropped.select(F.shiftright(b, 6).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("_b"))
+    bitmap = scratch.keep(bitmap.groupBy("_cell").agg(F.bit_or("_b").alias("_bits")))
+    b = bit(F.col(f"_row.{key}"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_cell", F.shiftright(b, 6))
+    rows = rows.join(F.broadcast(bitmap), "_cell", "left")
+    suspect = F.coalesce(F.getbit(F.col("_bits"), (b % 64).cast("int")) == 1, F.lit(False))
+    calm = rows.filter(~suspect).select("_row.*")
+    rest = rows.filter(suspect).select("_row")
+    rest = rest.join(dropped.select(F.col(name).alias("_gone")), F.col(f"_row.{key}").eqNullSafe(F.col("_gone")), "left_anti")
+    return calm.unionAll(rest.select("_row.*"))
+
+
 _SHIPPED: set[str] = set()
 
 

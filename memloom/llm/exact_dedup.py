@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import SPACE, Scratch, table
+from memloom.llm.common import SPACE, Scratch, drop_keys, table
 
 #: Characters of the prefix hash.
 PREFIX = 512
@@ -78,7 +78,7 @@ def keep_first(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     found = exact_dedup(docs, scratch, key, text)
     found = scratch.keep(found.select(F.col(key).alias("_key"), "kept", "row"))
     dropped = found.filter(~F.col("kept") & (F.col("row") == 0)).select("_key").distinct()
-    left = docs.join(dropped, docs[key].eqNullSafe(dropped["_key"]), "left_anti")
+    left = drop_keys(docs, dropped, key, scratch)
     if found.filter("row > 0").isEmpty():
         return left
     repeats = found.filter("row > 0").select("_key").distinct()

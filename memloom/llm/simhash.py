@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from memloom.llm.common import Scratch, python_workers, table
+from memloom.llm.common import Scratch, drop_keys, python_workers, table
 from memloom.llm.graph import connected_components
 
 SEED = 42
@@ -251,7 +251,7 @@ def simhash_components(
 
 
 def keep_one(
-    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 3
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2
 ) -> DataFrame:
     """The rows of `docs` whose key names their component, with all their columns.
 
@@ -261,7 +261,7 @@ def keep_one(
     found = simhash_components(docs, scratch, key, text, width, distance)
     dropped = found.groupBy(key).agg(F.bool_or(F.col(key).eqNullSafe(F.col("component_id"))).alias("stays"))
     dropped = scratch.keep(dropped.filter("NOT stays").select(F.col(key).alias("_key")))
-    return docs.join(dropped, docs[key].eqNullSafe(dropped["_key"]), "left_anti")
+    return drop_keys(docs, dropped, key, scratch)
 
 
 def hex16(fp):
