@@ -1,0 +1,24 @@
+from memloom.plans.api import Engine
+from memloom.sources import sessions as S
+from memloom.streaming.ingest import ingest_stream
+
+ONE = "We decided to use JWT auth and need to fix Redis blacklist bug!!!\nerror: module type not specified"
+TWO = "We need to fix Redis blacklist bug.\nFixed the Redis blacklist bug.\nWe decided to use JWT auth because it's stateless."
+
+
+def test_stream_then_batch(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name, text in (("2026-01-01", ONE), ("2026-01-02", TWO)):
+        (tmp_path / "s" / f"{name}.md").write_text(S.session_document("agent", "x", "2026-01-01T00:00:00.000Z", "2026-01-01T00:01:00.000Z", 0, text))
+    engine = Engine(spark, str(tmp_path / "store"))
+    ingest_stream(spark, engine, str(tmp_path / "s"), str(tmp_path / "seen")).awaitTermination()
+    items = {r.id: (r.text, r.resolved) for r in engine.list().collect()}
+    assert items["bug-1"] == ("Fix Redis blacklist bug.", True)
+    assert items["decision-1"] == ("Use JWT auth because it is stateless.", False)
+    sessions = S.read_sessions(spark, str(tmp_path / "s"))
+    assert set(engine.ingest(sessions).values()) == {0}  # merging again adds nothing
+    block = engine.inject("redis")
+    assert "Fixed the Redis blacklist bug." in block and "## Bugs" not in block
+    assert engine.delete("error-1") == 1
+    assert engine.status(sessions)["errors"] == 0
+    assert engine.resolve("bug-1") == {"added": 0, "also": []}
