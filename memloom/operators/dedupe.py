@@ -22,6 +22,11 @@ def exact_distinct(items: DataFrame, scope: list[str], order: str = "ord") -> Da
     return rows.groupBy(*scope, "norm").agg(F.min(order).alias(order), best.alias("text")).select(*scope, order, "text", "norm")
 
 
+def _grams(width: int):
+    starts = F.sequence(F.lit(1), F.greatest(F.length("norm") - width + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring("norm", i, F.lit(width))))
+
+
 def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
     """Rows whose normal form stands inside a longer one of their scope are dropped.
 
@@ -40,8 +45,7 @@ def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFra
     short = [w for w in range(1, GRAM) if not probe.filter(F.col("_w") == w).isEmpty()]
     offers = rows.filter(F.col("_n") > GRAM).select(*scope, F.col("norm").alias("_big"), F.lit(GRAM).alias("_w"), F.explode(grams).alias("_g"))
     for w in short:
-        all_w = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - w + 1, F.lit(1))), lambda i, w=w: F.substring("norm", i, F.lit(w))))
-        offers = offers.unionAll(rows.filter(F.col("_n") > w).select(*scope, F.col("norm").alias("_big"), F.lit(w).alias("_w"), F.explode(all_w).alias("_g")))
+        offers = offers.unionAll(rows.filter(F.col("_n") > w).select(*scope, F.col("norm").alias("_big"), F.lit(w).alias("_w"), F.explode(_grams(w)).alias("_g")))
     hits = probe.join(offers, [*scope, "_w", "_g"]).filter((F.length("_big") > F.col("_n")) & F.contains("_big", "norm"))
     return items.join(hits.select(*scope, "norm").distinct(), [*scope, "norm"], "left_anti").select(*items.columns)
 
@@ -49,9 +53,10 @@ def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFra
 def bigrams(norm):
     """Bigrams of a text, the k-th occurrence marked as such: equal sets are equal multisets."""
     raw = F.when(F.length(norm) >= 2, F.transform(F.sequence(F.lit(1), F.length(norm) - 1), lambda i: F.substring(norm, i, F.lit(2))))
-    raw = F.coalesce(raw, F.array().cast("array<string>"))
-    nth = lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(raw, 1, i + 1), lambda y: y == x)).cast("string"))
-    return F.transform(raw, nth)
+    sorted_ = F.sort_array(F.coalesce(raw, F.array().cast("array<string>")))
+    # in the sorted list, the k-th occurrence stands k places after the first
+    numbered = lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit("#"), (i + 2 - F.array_position(s, x)).cast("string")))
+    return F.element_at(F.transform(F.array(sorted_), numbered), 1)
 
 
 def similar_pairs(items: DataFrame, scope: list[str], order: str = "ord", percent: int = SIMILAR_PERCENT) -> DataFrame:
