@@ -29,7 +29,7 @@ ROUNDS, CONFIDENT, PER_ROUND = 4, 0.95, 100
 
 
 def text_view(texts: list[str]) -> np.ndarray:
-    return normed(np.array([gram_counts(t, GRAM_BITS) for t in texts]).reshape(len(texts), -1)).astype(np.float32)
+    return normed(np.array([gram_counts(t, GRAM_BITS) for t in texts]).reshape(len(texts), 1 << GRAM_BITS)).astype(np.float32)
 
 
 def meta_view(source: list, lang: list, chars: list) -> np.ndarray:
