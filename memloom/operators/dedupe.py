@@ -46,6 +46,9 @@ def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFra
     offers = rows.filter(F.col("_n") > GRAM).select(*scope, F.col("norm").alias("_big"), F.lit(GRAM).alias("_w"), F.explode(grams).alias("_g"))
     for w in short:
         offers = offers.unionAll(rows.filter(F.col("_n") > w).select(*scope, F.col("norm").alias("_big"), F.lit(w).alias("_w"), F.explode(_grams(w)).alias("_g")))
+    if 1 in short:  # the empty form has the empty gram, which any other form of its scope answers
+        some = rows.filter("_n > 0").groupBy(*scope).agg(F.max("norm").alias("_big"))
+        offers = offers.unionAll(some.select(*scope, "_big", F.lit(1).alias("_w"), F.lit("").alias("_g")))
     hits = probe.join(offers, [*scope, "_w", "_g"]).filter((F.length("_big") > F.col("_n")) & F.contains("_big", "norm"))
     return items.join(hits.select(*scope, "norm").distinct(), [*scope, "norm"], "left_anti").select(*items.columns)
 

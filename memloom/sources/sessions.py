@@ -75,10 +75,9 @@ def frontmatter(content: Column) -> Column:
     """Map of the fence at the very start; lines split at their first colon, the last of equal keys wins."""
     body = F.regexp_extract(content, r"\A---\r?\n((?s:.*?))\r?\n---", 1)
     pairs = F.filter(F.transform(F.split(body, r"\r?\n", -1), lambda x: F.split(x, ":", 2)), lambda p: (F.size(p) == 2) & (F.trim(p[0]) != ""))
-    entries = F.transform(pairs, lambda p: F.struct(F.trim(p[0]).alias("key"), F.trim(p[1]).alias("value")))
-    last = F.filter(entries, lambda e: F.lit(True))
-    keys = F.array_distinct(F.transform(last, lambda e: e["key"]))
-    value = lambda k: F.element_at(F.filter(last, lambda e: e["key"] == k), -1)["value"]
+    entries = F.transform(pairs, lambda p: F.named_struct(F.lit("key"), F.trim(p[0]), F.lit("value"), F.trim(p[1])))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
     return F.map_from_arrays(keys, F.transform(keys, value))
 
 
