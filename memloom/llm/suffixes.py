@@ -14,8 +14,9 @@ document is removed at once. What is left - samples that share their rank but no
 context with a smaller document - goes to round 2, which ranks each of their 50-byte
 strings by the pair of its halves and finds the smallest document of each.
 
-Samples travel as packed arrays, a row per (task, bucket). Before they leave a task,
-samples of equal rank and context become one; the others are removed on the spot.
+Samples travel as packed arrays, a row per (task, bucket). Of samples of equal rank and
+context those of the smallest document leave the task, all of its places; the others are
+removed on the spot.
 """
 
 from __future__ import annotations
@@ -209,14 +210,12 @@ def _sample_rows(buckets: int, blocks: int):
                 first = _runs(rank[order], context[order])
                 least = _grouped_min(first, ids[who[order], 0])
                 done = ids[who[order], 0] > least  # the same context in a smaller document of this task
-                keep = np.zeros(len(who), dtype=bool)
-                keep[order[first]] = True
                 gone = np.zeros(len(who), dtype=bool)
                 gone[order[done]] = True
                 b = (mix64(rank.copy()) % np.uint64(buckets)).astype(np.int64)
                 out = []
-                some = np.flatnonzero(keep)
-                some = some[np.argsort(b[some], kind="stable")]
+                some = np.flatnonzero(~gone)  # every place of the least document: another task may hold a smaller one
+                some = some[np.lexsort((place[some], who[some], b[some]))]
                 for group in np.split(some, np.flatnonzero(np.diff(b[some])) + 1):
                     if len(group):
                         out.append((int(b[group[0]]), 0, 0, _pack(ids, who[group], place[group], rank[group], context[group])))
@@ -259,7 +258,7 @@ def _first_round(blocks: int):
             group = np.cumsum(by_rank) - 1
             is_open = np.zeros(group[-1] + 1, dtype=bool)
             is_open[group[open_]] = True
-            need = by_context & is_open[group]
+            need = (by_context | open_) & is_open[group]  # one holder of each context, all places that may go
             zero = np.zeros(int(need.sum()), dtype=np.int64)
             out += [(2, *x) for x in _range_rows(ids, who[need], place[need], place[need] + zero, blocks)]
         return pd.DataFrame(out, columns=["kind", "block", "data"])

@@ -154,5 +154,17 @@ def test_repeats(spark, piece, monkeypatch):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute_repeats(docs)
 
 
+def test_repeats_twice_in_one_document(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = word(600), word(600)
+    docs = [(1, p + word(90)), (3, word(70) + q[:300]), (5, word(80) + p + word(90) + p + word(60)), (6, q + word(9) + q), (6, word(80) + q), (9, q + p + q)]
+    rows = spark.createDataFrame([(k, t, "en", "x") for k, t in docs], SCHEMA).repartition(len(docs), "text")
+    got = suffixes.remove_repeats(rows, Scratch(spark, "t")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute_repeats(docs)
+    one = spark.createDataFrame([(k, t, "en", "x") for k, t in docs], SCHEMA).coalesce(1)
+    assert sorted(map(str, suffixes.remove_repeats(one, Scratch(spark, "t")).collect())) == sorted(map(str, got))
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.remove_repeats(frame(spark, []), Scratch(spark, "t")).count() == 0
