@@ -335,7 +335,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
     return out.withColumnRenamed("k", key)
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of `docs` that score below `threshold`, with all their columns."""
     spark = docs.sparkSession
     python_workers(spark)

@@ -1,5 +1,6 @@
 """Learned operators: exact inference, held-out accuracy, and odd inputs."""
 
+import inspect
 import itertools
 import random
 
@@ -103,3 +104,11 @@ def test_views_exchange_labels():
     assert min(model.exchanged) > 0
     fresh = rng.integers(0, 2, size=200).astype(float)
     assert np.mean((model.scores([view(3, fresh), view(2, fresh)]) >= 0.5) == fresh) > 0.95
+
+
+def test_toxic_rows_go_at_the_operators_threshold(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    assert inspect.signature(toxicity.drop_toxic).parameters["threshold"].default == toxicity.THRESHOLD
+    clean = toxicity.score_toxicity(docs, model).filter(F.col("score") < toxicity.THRESHOLD)
+    assert sorted(str(r.doc_id) for r in toxicity.drop_toxic(docs, model).collect()) == sorted(str(r.doc_id) for r in clean.collect())
