@@ -65,25 +65,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DROP_BITS = 22
 
 
-def drop_keys(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """The rows of `docs` whose key (nulls are equal) is not among `dropped` (one column).
-
-    Most rows stay where they are: a bitmap of fixed size of the dropped keys' hashes is
-    broadcast, and only rows whose bit is set are joined, and so shuffled, with their texts.
-    """
-    name = dropped.columns[0]
+def marked(docs: DataFrame, keys: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(_row, _suspect): rows whose key's hash has its bit in a bitmap of `keys` (one column), of fixed size and broadcast."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << DROP_BITS))
-    b = bit(F.col(name))
-    bitmap = dropped.select(F.shiftright(b, 6).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("_b"))
+    b = bit(F.col(keys.columns[0]))
+    bitmap = keys.select(F.shiftright(b, 6).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("_b"))
     bitmap = scratch.keep(bitmap.groupBy("_cell").agg(F.bit_or("_b").alias("_bits")))
     b = bit(F.col(f"_row.{key}"))
     rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_cell", F.shiftright(b, 6))
     rows = rows.join(F.broadcast(bitmap), "_cell", "left")
     suspect = F.coalesce(F.getbit(F.col("_bits"), (b % 64).cast("int")) == 1, F.lit(False))
-    calm = rows.filter(~suspect).select("_row.*")
-    rest = rows.filter(suspect).select("_row")
-    rest = rest.join(dropped.select(F.col(name).alias("_gone")), F.col(f"_row.{key}").eqNullSafe(F.col("_gone")), "left_anti")
-    return calm.unionAll(rest.select("_row.*"))
+    return rows.select("_row", suspect.alias("_suspect"))
+
+
+def drop_keys(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch, also: Column | None = None) -> DataFrame:
+    """The rows of `docs` whose key (nulls are equal) is not among `dropped` (one column).
+
+    Most rows stay where they are: only rows that the bitmap of the dropped keys marks are
+    joined, and so shuffled, with their texts. With `also`, a column of `docs`, the second
+    column of `dropped` has to equal it too.
+    """
+    rows = marked(docs.withColumn("_also", F.lit(None) if also is None else also), dropped.select(dropped.columns[0]), key, scratch)
+    calm = rows.filter("NOT _suspect").select("_row.*")
+    rest = rows.filter("_suspect").select("_row")
+    gone = dropped.toDF(*["_gone", "_gone_also"][: len(dropped.columns)])
+    same = F.col(f"_row.{key}").eqNullSafe(F.col("_gone"))
+    same = same if also is None else same & (F.col("_row._also") == F.col("_gone_also"))
+    return calm.unionAll(rest.join(gone, same, "left_anti").select("_row.*")).drop("_also")
 
 
 _SHIPPED: set[str] = set()

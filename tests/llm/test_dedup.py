@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from memloom.llm import exact_dedup, graph, simhash, suffixes
+from memloom.llm import exact_dedup, graph, near_dedup, simhash, suffixes
 from memloom.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, keep_id string"
@@ -116,6 +116,43 @@ def test_simhash_edges(spark):
     assert simhash.simhash_components(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def brute_near(rows):
+    """Rows that stay, by all pairs of five-word shingle sets."""
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    s, label = [sets(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return sorted((str(k), t) for n, (k, t) in enumerate(rows) if label[n] == n)
+
+
+def test_near_copies_from_0_8(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(5, 400))]
+        rows.append((len(rows) + 1, " ".join(base)))
+        for _ in range(3):
+            base = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 45)):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            rows.append((rng.choice([None, 2, len(rows) + 1]), " ".join(base).replace("w", rng.choice("wW"))))
+    rows += [(500, "one two"), (501, "ONE two"), (None, ""), (502, None), (None, "alone with no key"), (None, "alone too without a key")]
+    rows = list({t: (k, t) for k, t in rows}.values())
+    left = near_dedup.keep_one(frame(spark, rows), Scratch(spark, "t"))
+    assert left.columns == ["doc_id", "text", "lang", "keep_id"]
+    got, want = [(str(r.doc_id), r.text) for r in left.collect()], brute_near(rows)
+    assert len(got) == len(want) and sorted(k for k, _ in got) == sorted(k for k, _ in want)
+    assert near_dedup.keep_one(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
 def brute_repeats(docs):
     first: dict = {}
     for d, t in docs:
