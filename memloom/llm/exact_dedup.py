@@ -76,9 +76,10 @@ def exact_dedup(
 def keep_first(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     found = exact_dedup(docs, scratch, key, text)
-    found = scratch.keep(found.select(F.col(key).alias("_key"), "kept", "row"))
-    dropped = found.filter(~F.col("kept") & (F.col("row") == 0)).select("_key").distinct()
-    left = drop_keys(docs, dropped, key, scratch)
+    found = scratch.keep(found.select(F.col(key).alias("_key"), "kept", "row", "text_sha256"))
+    # by key and text: rows that share a key, or have none, go one by one
+    dropped = scratch.keep(found.filter(~F.col("kept") & (F.col("row") == 0)).select("_key", "text_sha256").distinct())
+    left = drop_keys(docs, dropped, key, scratch, F.sha2(normalised(F.col(text)).cast("binary"), 256))
     if found.filter("row > 0").isEmpty():
         return left
     repeats = found.filter("row > 0").select("_key").distinct()

@@ -41,6 +41,12 @@ def test_exact_keep_first(spark):
     assert exact_dedup.keep_first(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_exact_keep_first_of_shared_and_null_keys(spark):
+    rows = [(1, "a b"), (2, "a  b"), (2, "other"), (2, "third"), (2, "third"), (None, "a b"), (None, "own"), (None, "none"), (None, "none"), (3, "x")]
+    left = exact_dedup.keep_first(frame(spark, rows), Scratch(spark, "t")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("1", "a b"), ("2", "other"), ("2", "third"), ("None", "own"), ("None", "none"), ("3", "x")])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 2000 + k) for k in range(50)]
