@@ -1,13 +1,13 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoder.
 
 A text gets a leading space; spaces become the piece mark. Candidate merges wait in an
-agenda by score, then position; each one that comes up is skipped if a keyed hash of
-(seed, variant, segment, position, piece) falls below the dropout. A skipped candidate
+agenda by score, then position; the k-th one that comes up is skipped if a keyed hash of
+(seed, document, place of the segment, k) falls below the dropout. A skipped candidate
 comes back only if a neighbour's merge makes a new one. No merge crosses the start of a
 run of marks or a line end (no piece does), so segments between them are encoded alone.
-Each occurrence of a segment draws one of `variants` by a keyed hash of its document
-and place, so a word is segmented in several ways within and across documents while
-frequent segments are encoded only once per variant and worker.
+Each occurrence of a segment so has skips of its own. What comes of a segment depends on
+the skips alone, so a worker keeps it by segment and skips and runs the agenda only for
+those it has not met.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from memloom.llm.common import python_workers, table
 from memloom.llm.rolling import mix64
 
 MARK = "▁"
-DROPOUT, VARIANTS, SEED = 0.1, 2, 17
-#: Segments kept per variant and generation in a worker, and the longest that is kept.
-CACHE, CACHE_CHARS = 150_000, 40
+DROPOUT, SEED = 0.1, 17
+#: Results kept per generation in a worker, and the longest segment that is kept.
+CACHE, CACHE_CHARS = 250_000, 40
+#: Candidates of an occurrence whose skips are drawn at once for a whole text; the rest when it gets that far.
+FIRST = 24
 _SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _M = (1 << 64) - 1
 
@@ -55,9 +56,9 @@ class Pieces:
         self.raw = [
             bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for p, _, is_byte in self.vocabulary
         ]
-        self.cache: list[dict[str, tuple[int, ...]]] = []
-        self.older: list[dict[str, tuple[int, ...]]] = []
-        self.cached: tuple | None = None
+        # (segment, skips) -> (ids, mask of the candidates that came up)
+        self.cache: dict[tuple[str, int], tuple[tuple[int, ...], int]] = {}
+        self.older: dict[tuple[str, int], tuple[tuple[int, ...], int]] = {}
         self.ready = True
         return self
 
@@ -88,40 +89,40 @@ class Pieces:
                 out.extend(self.byte_id[b] for b in (MARK if s == "\0mark" else s).encode())
         return tuple(out)
 
-    def segment(self, text: str, seed: int = 0, dropout: float = 0.0) -> tuple[int, ...]:
-        """Ids of one segment (spaces are marks here; a mark of the text itself stays bytes)."""
+    def segment(self, text: str, skips: int = 0, known: int = 1 << 62) -> tuple[tuple[int, ...], int] | None:
+        """(ids, candidates that came up) of one segment; candidate k is skipped if bit k of `skips` is set.
+
+        Spaces are marks here; a mark of the text itself stays bytes. None if more than
+        `known` candidates come up.
+        """
         symbols = [MARK if c == " " else "\0mark" if c == MARK else c for c in text]
-        limit = int(dropout * (1 << 32))
-        base = xxh64_intdigest(text.encode(), seed & _M) if limit else 0
         if len(symbols) > 48:
-            return self._ids(self._long(symbols, base, limit))
+            symbols, k = self._long(symbols, skips)
+            return (self._ids(symbols), k) if k <= known else None
+        came = 0
         rank, never = self.rank, 1 << 40
-        place = list(range(len(symbols)))
         pairs = [rank.get(a + b, never) for a, b in zip(symbols, symbols[1:])]
         while pairs:
             best = min(pairs)
             if best == never:
                 break
+            if came >= known:
+                return None
             k = pairs.index(best)
-            merged = symbols[k] + symbols[k + 1]
-            if limit and self._skips(base, place[k], self.ids[merged], limit):
+            came += 1
+            if skips >> (came - 1) & 1:
                 pairs[k] = never
                 continue
+            merged = symbols[k] + symbols[k + 1]
             symbols[k : k + 2] = [merged]
-            del place[k + 1], pairs[k]
+            del pairs[k]
             if k:
                 pairs[k - 1] = rank.get(symbols[k - 1] + merged, never)
             if k < len(pairs):
                 pairs[k] = rank.get(merged + symbols[k + 1], never)
-        return self._ids(symbols)
+        return self._ids(symbols), came
 
-    @staticmethod
-    def _skips(base: int, place: int, piece: int, limit: int) -> bool:
-        h = (base ^ (place * 0x9E3779B97F4A7C15) ^ (piece * 0xC2B2AE3D27D4EB4F)) & _M
-        h = ((h ^ (h >> 31)) * 0xFF51AFD7ED558CCD) & _M
-        return ((h ^ (h >> 29)) * 0xC4CEB9FE1A85EC53 & _M) >> 32 < limit
-
-    def _long(self, symbols: list[str], base: int, limit: int) -> list[str]:
+    def _long(self, symbols: list[str], skips: int) -> tuple[list[str], int]:
         """The same agenda as a heap, for segments of any length."""
         rank, n = self.rank, len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -135,12 +136,14 @@ class Pieces:
 
         for k in range(n - 1):
             offer(k, k + 1)
+        came, due = 0, np.unpackbits(np.frombuffer(skips.to_bytes(max(3 * n, skips.bit_length()) // 8 + 1, "little"), np.uint8), bitorder="little").tolist()
         while agenda:
             _, a, merged = heapq.heappop(agenda)
             b = after[a]
             if not symbols[a] or b >= n or symbols[a] + symbols[b] != merged:
                 continue
-            if limit and self._skips(base, a, self.ids[merged], limit):
+            came += 1
+            if due[came - 1]:
                 continue
             symbols[a], symbols[b] = merged, ""
             after[a] = after[b]
@@ -148,36 +151,46 @@ class Pieces:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], came
 
-    def encode(self, text: str, key: int = 0, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> list[int]:
+    def encode(self, text: str, key: int = 0, seed: int = SEED, dropout: float = DROPOUT) -> list[int]:
         """Ids of a whole text; dropout 0 gives the plain segmentation. The empty text has none."""
         if not text:
             return []
         self.prepare()
-        variants = max(1, variants) if dropout else 1
-        if self.cached != (seed, dropout, variants):
-            self.cache, self.cached = [{} for _ in range(variants)], (seed, dropout, variants)
-            self.older = [{} for _ in range(variants)]
         out: list[int] = []
         segments = _SEGMENT.findall(" " + text)
-        if variants == 1:
-            draws = [0] * len(segments)
-        else:
-            place = np.arange(len(segments), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + seed) & _M)
-            draws = (mix64(place) % np.uint64(variants)).tolist()
-        cache, add = self.cache, out.extend
-        for segment, v in zip(segments, draws):
-            ids = cache[v].get(segment)
-            if ids is None:
-                ids = self.older[v].get(segment)
-                if ids is None:
-                    ids = self.segment(segment, seed * 1_000_003 + v, dropout)
-                if len(segment) <= CACHE_CHARS:
-                    if len(cache[v]) >= CACHE:  # what is in use moves on to the new generation
-                        self.older[v], cache[v] = cache[v], {}
-                    cache[v][segment] = ids
-            add(ids)
+        limit = np.uint64(int(dropout * (1 << 32)))
+        keys = mix64(np.arange(len(segments), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F) & _M))
+        drawn = _skips(keys, FIRST, limit).tolist() if dropout else [0] * len(segments)
+        known = FIRST if dropout else 1 << 62
+        add = out.extend
+        for at, segment in enumerate(segments):
+            cache, skips = self.cache, drawn[at]
+            met, rest = 0, skips
+            while True:  # no skip that came up, then the first one, and so on
+                found = cache.get((segment, met)) or self.older.get((segment, met))
+                if found is not None and skips & found[1] == met:
+                    break
+                found = None
+                if not rest:
+                    break
+                met |= rest & -rest
+                rest &= rest - 1
+            if found is None:
+                ids = self.segment(segment, skips, known) if len(segment) <= 48 or not dropout else None
+                if ids is None:  # fewer than three candidates a character come up
+                    blocks = [_skips(keys[at : at + 1] + np.uint64(k + 1), 32, limit) for k in range(0, 3 * len(segment), 32)]
+                    more = int.from_bytes(np.concatenate(blocks).astype("<u4").tobytes(), "little")
+                    add(self.segment(segment, more << FIRST | skips)[0])
+                    continue
+                found = (ids[0], (1 << ids[1]) - 1)
+                met = skips & found[1]
+            if len(segment) <= CACHE_CHARS and (segment, met) not in cache:
+                if len(cache) >= CACHE:  # what is in use moves on to the new generation
+                    self.older, self.cache = cache, {}
+                self.cache[segment, met] = found
+            add(found[0])
         return out
 
     def decode(self, ids) -> str:
@@ -185,14 +198,23 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", errors="replace")[1:]
 
 
+def _skips(keys: np.ndarray, n: int, limit: np.uint64) -> np.ndarray:
+    """A mask for each key: bit k is set if its k-th draw of 32 bits, of n, is below the limit."""
+    out = np.zeros(len(keys), dtype=np.uint64)
+    for k in range(0, n, 2):
+        h = mix64(keys + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & _M))
+        out |= ((h & np.uint64(0xFFFFFFFF)) < limit).astype(np.uint64) << np.uint64(k)
+        out |= ((h >> np.uint64(32)) < limit).astype(np.uint64) << np.uint64(k + 1)
+    return out
+
+
 def _shared(spark: SparkSession, pieces: Pieces):
     python_workers(spark)
     return spark.sparkContext.broadcast(pieces)  # the vocabulary: its size does not follow the data
 
 
 def encode(
-    docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", seed: int = SEED, dropout: float = DROPOUT,
-    variants: int = VARIANTS,
+    docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", seed: int = SEED, dropout: float = DROPOUT
 ) -> DataFrame:
     """(key, ids) for every row: array of int; null text: null; empty text: empty array.
 
@@ -207,7 +229,7 @@ def encode(
             for at in range(0, len(rows), 100):
                 part = rows.iloc[at : at + 100]
                 ids = [
-                    None if t is None else np.array(own.encode(t, h, seed, dropout, variants), dtype=np.int32)
+                    None if t is None else np.array(own.encode(t, h, seed, dropout), dtype=np.int32)
                     for t, h in zip(part["t"], part["h"], strict=True)
                 ]
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "ids": pd.Series(ids, dtype=object)})

@@ -70,6 +70,27 @@ def test_pieces_vary_and_repeat():
     assert one == pieces.Pieces.load().encode(text, key=1) and one != two and len(one) > len(plain)
 
 
+def test_each_occurrence_has_skips_of_its_own():
+    own = pieces.Pieces.load().prepare()
+    one = " international"
+    plain, n = tuple(own.encode(one.strip(), dropout=0)), 20_000
+    ids = own.encode(" ".join([one.strip()] * n), key=5)
+    forms, at = {}, 0
+    while at < len(ids):  # a form ends where the text of its pieces does
+        end = at + 1
+        while own.decode([own.ids[pieces.MARK]] + ids[at:end]).strip() != one.strip():
+            end += 1
+        forms[tuple(ids[at:end])] = forms.get(tuple(ids[at:end]), 0) + 1
+        at = end
+    rng = random.Random(2)
+    drawn = [own.segment(one, sum(1 << k for k in range(40) if rng.random() < 0.1))[0] for _ in range(n)]
+    assert len(forms) > 20 and abs(forms[plain] - drawn.count(plain)) < 0.02 * n
+    fresh = pieces.Pieces.load()
+    assert fresh.encode(" ".join([one.strip()] * n), key=5) == ids
+    long = "ab" * 300
+    assert own.decode(own.encode(long, key=1)) == long and len({tuple(own.encode(long, key=k)) for k in range(20)}) > 10
+
+
 def test_pieces_on_spark(spark):
     rows = [(1, "Hello  world\n"), (2, ""), (3, None), (None, "▁ x"), (1, "Hello  world\n")]
     vocabulary = pieces.Pieces.load()
