@@ -11,15 +11,15 @@ from memloom.operators.summarize import counts, summaries
 from memloom.plans.session import cut
 
 
-def candidates(sessions: DataFrame, key: str = "session_id", raw: str = "raw_text") -> DataFrame:
-    """(key, ord, category, text): good memories before de-duplication; ord sorts by place."""
+def candidates(sessions: DataFrame, key: str = "session_id", raw: str = "raw_text", step: int = 10_000) -> DataFrame:
+    """(key, ord, category, text): good memories before de-duplication; ord sorts by place, with up to `step` sentences a line."""
     rows = S.candidates(S.sentences(S.clean_lines(sessions, key, raw), key), key)
-    return rows.select(key, (F.col("line_no").cast("long") * 10_000 + F.col("sent_no")).alias("ord"), "category", "text")
+    return rows.select(key, (F.col("line_no").cast("long") * F.lit(step) + F.col("sent_no")).alias("ord"), "category", "text")
 
 
 def memories(sessions: DataFrame, key: str = "session_id", raw: str = "raw_text") -> DataFrame:
     """(key, ord, category, text): what each session leaves to be remembered."""
-    rows = cut(candidates(sessions, key, raw))
+    rows = cut(candidates(sessions, key, raw, 1 << 32))  # no line has as many sentences: ord is unique
     return D.dedupe(rows, [key, "category"]).select(key, "ord", "category", "text")
 
 

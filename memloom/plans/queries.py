@@ -164,7 +164,10 @@ def dice_pairs(spark, sf_dir):
 
 @query("fuzzy_dedupe")
 def fuzzy_dedupe(spark, sf_dir):
-    return D.dedupe(chat_lines(spark, sf_dir), ["scope"])
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("scope"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    # the place as a string that sorts like it: a packed number is not unique beyond 99 turns or 9,999 lines
+    place = F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 19, "0") for c in ("conv_id", "turn", "i")))
+    return D.dedupe(rows.select("scope", place.alias("ord"), "text"), ["scope"])
 
 
 # derived transcripts ----------------------------------------------------------------

@@ -101,3 +101,15 @@ def test_memory_files(spark, tmp_path):
 def test_compound_sentences(spark):
     row = spark.createDataFrame([("Use X and then run it. Go on!  Yes",)], "t string").select(F.flatten(F.transform(G.split_sentences(F.col("t")), G.split_compound)).alias("s")).first()
     assert row.s == ["Use X", "run it.", "Go on!", "Yes"]
+
+
+def test_fuzzy_dedupe_of_long_conversations(spark, tmp_path):
+    from memloom.plans.queries import QUERIES
+
+    rows = [
+        (1, 100, "user", "the parser cache fails on stale tokens every day"), (2, 0, "user", "a wholly different remark on billing"),
+        (3, 0, "user", "the parser cache fails on stale tokens every single day"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(r.text for r in QUERIES["fuzzy_dedupe"](spark, str(tmp_path)).collect())
+    assert got == ["a wholly different remark on billing", "the parser cache fails on stale tokens every single day"]
