@@ -20,10 +20,13 @@ def ui_line(d, t):
 
 
 def high_symbol_noise(d, t):
-    dense = d.replace(t, r"\s", "")
-    letters = d.length(d.replace(dense, r"[^A-Za-z0-9]", ""))
-    # more than 45 % of at least 24 characters are symbols
-    return (d.length(dense) >= 24) & ((d.length(dense) - letters) * 100 > d.length(dense) * 45)
+    """More than 45 % of at least 24 characters are symbols."""
+
+    def judge(dense):
+        letters = d.length(d.replace(dense, r"[^A-Za-z0-9]+", ""))
+        return (d.length(dense) >= 24) & ((d.length(dense) - letters) * 100 > d.length(dense) * 45)
+
+    return d.let(d.replace(t, r"\s+", ""), judge)
 
 
 def _blob(d, t, words, noisy):

@@ -15,15 +15,30 @@ def auth_residue_off(d, t):
     return d.replace(d.replace(t, R.AUTH_RESIDUE, "", icase=True), R.AUTH_STATE, "", icase=True)
 
 
-#: A name that bears a secret: screaming case or with an underscore, and with a secret word in it.
+#: SQL cannot look ahead: there, the names that bear a secret are told one by one.
 _UP = R.SECRET_WORD
-_NAME = (
+_NAMES = (
     rf"(?:[A-Z][A-Z0-9_]*?)?(?:{_UP})[A-Z0-9_]*|[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]*?(?i:{_UP})[A-Za-z0-9_]*|"
     rf"[A-Za-z][A-Za-z0-9]*?(?i:{_UP})[A-Za-z0-9]*_[A-Za-z0-9_]*|(?i:{_UP})[A-Za-z0-9]*_[A-Za-z0-9_]*|"
     r"(?i:[a-z0-9]*(?:api_key|access_key|secret_key|private_key|service_role_?key|service_?role_key|encryption_key|signing_key|"
     r"session_key|database_url|redis_url)[a-z0-9_]*)"
 )
 _LEAD = r"(^|[^A-Za-z0-9_.$])"
+#: An assignment to any name first; then the name has an underscore or is in capitals, and has a secret word in it.
+_ASSIGN = (
+    r"(?<![A-Za-z0-9_.$])(?=[A-Za-z])(?=[A-Za-z0-9_]++\s*+[:=])(?=[A-Za-z0-9]*_|[A-Z0-9]+(?![A-Za-z0-9_]))"
+    rf"(?=[A-Za-z0-9_]*?(?i:{_UP}))([A-Za-z0-9_]+)(\s*[:=]\s*)"
+)
+#: Of a value: a quoted string and what is glued to it, or a run without the punctuation at its end; punctuation alone stays.
+_VALUE = rf"(?:(?:{R.ASSIGN_VALUE})(?:\S*[^\s.,;:!?])?|\S*[^\s.,;:!?]|([.,;:!?]+))"
+
+
+def _assignments_off(d, t):
+    mark = R.PLACEHOLDER
+    if hasattr(d, "looks_ahead"):
+        # possessive groups run in a loop; others would need a stack as deep as the string is long
+        return d.looks_ahead(t, _ASSIGN + _VALUE.replace(")*", ")*+"), rf"$1$2{mark}$3", SECRET_LITERALS)
+    return d.replace(t, rf"{_LEAD}({_NAMES})(\s*[:=]\s*){_VALUE}", rf"\1\2\3{mark}\4")
 
 
 def redact(d, t):
@@ -32,18 +47,18 @@ def redact(d, t):
     Of `Label: NAME=value` the inner assignment is redacted too. Redacting twice changes nothing.
     """
     mark = R.PLACEHOLDER
-    t = d.replace(d.replace(d.replace(t, R.PEM_BLOCK, mark), R.PEM_MARK, mark), R.CREDENTIAL_URL, mark)
-    t = d.replace(t, rf"{_LEAD}({_NAME})(\s*[:=]\s*)(?:{R.ASSIGN_VALUE})", rf"\1\2\3{mark}")
-    t = d.replace(t, rf"{_LEAD}({_NAME})(\s*[:=]\s*)(?:[^\s\"'`]\S*)?[^\s\"'`.,;:!?]", rf"\1\2\3{mark}")
-    for p in R.TOKENS.values():
-        t = d.replace(t, p, mark)
-    return d.replace(d.replace(t, R.OAUTH_PARAM, rf"\1={mark}"), R.OAUTH_STATE, rf"\1={mark}")
+    t = d.replaces(t, [(R.PEM_BLOCK, mark), (R.PEM_MARK, mark), (R.CREDENTIAL_URL, mark)])
+    t = _assignments_off(d, t)
+    t = d.replaces(t, [(p, mark) for p in R.TOKENS.values()])
+    return d.replaces(t, [(R.OAUTH_PARAM, rf"\1={mark}"), (R.OAUTH_STATE, rf"\1={mark}")])
 
 
+#: One of these, in lower case, is in every name that bears a secret.
+SECRET_LITERALS = ["key", "token", "secret", "passw", "passphrase", "credential", "database", "redis"]
 #: kind -> pattern of what is found, for counts
 FINDINGS = {
     "private-key": rf"{R.PEM_BLOCK}", "credentialed-url": R.CREDENTIAL_URL, **R.TOKENS, "oauth-param": R.OAUTH_PARAM,
-    "oauth-state": R.OAUTH_STATE, "env-assignment": rf"{_LEAD}({_NAME})(\s*[:=]\s*)(?:{R.ASSIGN_VALUE}|[^\s\"'`\[]\S*)",
+    "oauth-state": R.OAUTH_STATE, "env-assignment": rf"{_LEAD}({_NAMES})(\s*[:=]\s*)(?:{R.ASSIGN_VALUE}|[^\s\"'`\[]\S*)",
 }
 
 

@@ -10,8 +10,7 @@ from memloom.functions import text as T
 
 def cut_chrome(d, t, patterns):
     """Cut chrome to the end of its line."""
-    for p in patterns:
-        t = d.replace(t, p, "", icase=True, lines=True)
+    t = d.replaces(t, [(p, "") for p in patterns], icase=True, lines=True)
     t = d.replace(t, r"[ \t]{2,}", " ")
     return d.replace(t, r"^[ \t]+|[ \t]+$", "", lines=True)
 
@@ -44,8 +43,7 @@ def repair(d, raw):
     def note(t):
         t = d.replace(T.label_off(d, t), r"^[-*+•]\s+", "")
         t = d.trim(d.replace(d.replace(t, "^[\"'`]+", ""), "[\"'`]+$", ""))
-        for pattern, by in R.CONTRACTIONS.items():
-            t = d.replace(t, pattern, by, icase=True)
+        t = d.replaces(t, R.CONTRACTIONS.items(), icase=True)
         t = d.trim(d.replace(t, r"\s*[.!?]+$", ""))
         t = d.repeat_fold(t, 8, lambda x: _lead_ins_off(d, x))
         t = d.replace(t, r"[\s,;]*[⠀-⣿]+\s*working\b(?:\s+\d+\s*k?\s*tokens?)?[.\s]*$", "", icase=True)

@@ -322,7 +322,7 @@ TOKENS = {
 }
 OAUTH_PARAM = r"\b(?i:(access_token|refresh_token|id_token|client_secret|code_challenge|code_verifier))=[^\s&#]+"
 OAUTH_STATE = r"(?i:([?&]state))=[^\s&#]+"
-ASSIGN_VALUE = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`"
+ASSIGN_VALUE = r"\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`]*`"
 AUTH_URL_MARKS = [
     "auth.openai.com", "oauth", "authorize", "callback", "code_challenge", "access_token", "refresh_token", "id_token",
     "client_id", "redirect_uri", "state=",

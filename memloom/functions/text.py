@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from memloom.functions import rules as R
+from memloom.functions.dialect import WIDE_SPACES
 
 
 def normal_form(d, t):
     """What duplicates have in common."""
-    t = d.replace(d.trim(d.lower(t)), r"\s+", " ")
+    t = d.replace(d.trim(d.lower(t)), rf"[\s{WIDE_SPACES}]+", " ")
     t = d.replace(t, r"[!?.]*([!?.])([!?.])", r"\2")
     t = d.replace(t, r"^[-*]\s+", "")
     t = d.replace(t, "['\"«»„“”]", "'")
@@ -16,26 +17,24 @@ def normal_form(d, t):
 
 def compact(d, t):
     """Lower-case letters and digits only: finds words in blobs that lost their spaces."""
-    return d.replace(d.lower(t), r"[^a-z0-9]", "")
+    return d.replace(d.lower(t), r"[^a-z0-9]+", "")
 
 
 def strip_controls(d, t):
     """Terminal control sequences go; carriage returns end lines; tabs are blanks."""
     esc = "\\x1B"
-    t = d.replace(t, rf"{esc}\](?s:.*?)(?:\x07|{esc}\\)", "")
-    t = d.replace(t, rf"{esc}[P_^X](?s:.*?)(?:\x07|{esc}\\)", "")
-    t = d.replace(t, rf"{esc}\[[0-?]*[ -/]*[@-~]", "")
-    t = d.replace(t, rf"{esc}[()#%*+\-./][0-~]", "")
-    t = d.replace(t, rf"{esc}[@-Z\\-_]", "")
-    t = d.replace(t, r"(?:\d{1,2};)?rgb:[0-9a-f]{1,4}/[0-9a-f]{1,4}/[0-9a-f]{1,4}", "", icase=True)
-    t = d.replace(t, r"\]\d{1,2};\?", "")
+    t = d.replaces(t, [
+        (rf"{esc}\](?s:.*?)(?:\x07|{esc}\\)", ""), (rf"{esc}[P_^X](?s:.*?)(?:\x07|{esc}\\)", ""), (rf"{esc}\[[0-?]*[ -/]*[@-~]", ""),
+        (rf"{esc}[()#%*+\-./][0-~]", ""), (rf"{esc}[@-Z\\-_]", ""),
+    ])
+    t = d.replaces(t, [(r"(?i:(?:\d{1,2};)?rgb:[0-9a-f]{1,4}/[0-9a-f]{1,4}/[0-9a-f]{1,4})", ""), (r"\]\d{1,2};\?", "")])
     t = d.replace(d.replace(t, r"\r", "\n"), r"\t", " ")
     return d.replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]", "")
 
 
 def normal_line(d, t):
     """Box drawing becomes blanks; blanks become one."""
-    t = d.replace(t, f"[{R.BOX_GLYPHS}│║▄▀█]|[─━═]{{3,}}", " ")
+    t = d.replace(t, f"[{R.BOX_GLYPHS}│║▄▀█{WIDE_SPACES}]+|[─━═]{{3,}}", " ")
     return d.trim(d.replace(t, r"\s+", " "))
 
 
@@ -97,6 +96,3 @@ def match_token(d, w):
         (d.matches(w, r"^doc", icase=False), "document"), otherwise=d.replace(w, r"(?:ing|ed|s)$", ""),
     )
 
-
-def topic_key(d, t):
-    return d.trim(d.replace(d.lower(t), r"[^a-z0-9]+", " "))
