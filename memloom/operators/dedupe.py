@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.functions.dialect import SPARK as d
 from memloom.functions.rules import SIMILAR_PERCENT
+from memloom.operators.graph import connected_components
 from memloom.plans.session import cut
 
 #: Characters of the grams that block containment.
@@ -42,7 +43,7 @@ def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFra
     rare = own.join(counts, [*scope, "_w", "_g"]).groupBy(*scope, order, "norm", "_n").agg(F.min(F.struct("_c", "_w", "_g")).alias("r"))
     probe = rare.select(*scope, order, "norm", "_n", F.col("r._w").alias("_w"), F.col("r._g").alias("_g"))
     # containers offer their grams of the full width; shorter ones only if some row is that short
-    short = [w for w in range(1, GRAM) if not probe.filter(F.col("_w") == w).isEmpty()]
+    short = sorted(r[0] for r in rows.filter(F.col("_n") < GRAM).select(width.alias("w")).distinct().collect())
     offers = rows.filter(F.col("_n") > GRAM).select(*scope, F.col("norm").alias("_big"), F.lit(GRAM).alias("_w"), F.explode(grams).alias("_g"))
     for w in short:
         offers = offers.unionAll(rows.filter(F.col("_n") > w).select(*scope, F.col("norm").alias("_big"), F.lit(w).alias("_w"), F.explode(_grams(w)).alias("_g")))
@@ -85,53 +86,79 @@ def similar_pairs(items: DataFrame, scope: list[str], order: str = "ord", percen
     return found.filter(shared * 200 >= (F.size("ba") + F.size("bb")) * percent).select(*scope, "a", "b")
 
 
-def _components(pairs: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, o, root): least-label propagation over links, cut by checkpoints."""
-    both = pairs.select(*scope, F.col("a").alias("o"), F.col("b").alias("p")).unionAll(pairs.select(*scope, F.col("b").alias("o"), F.col("a").alias("p")))
-    both = cut(both)
-    labels = cut(both.groupBy(*scope, "o").agg(F.least(F.min("p"), F.min("o")).alias("root")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"o": "p", "root": "r"}), [*scope, "p"]).groupBy(*scope, "o").agg(F.min("r").alias("r"))
-        grown = cut(labels.join(near, [*scope, "o"]).select(*scope, "o", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
-        labels = grown.drop("moved")
-        if grown.filter("moved").isEmpty():
-            return labels
+#: Links of a component that one task settles; larger ones are settled in rounds.
+TOGETHER = 100_000
 
 
-def similar(items: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
+def similar(items: DataFrame, scope: list[str], order: str = "ord", together: int = TOGETHER) -> DataFrame:
     """Greedy removal of similar rows: in order, of a similar pair the longer text stays, ties the earlier.
 
-    The greedy is exact within a connected component, so components run side by side.
+    The greedy is exact within a connected component, so components run side by side: those
+    of up to `together` links in one task each, larger ones in rounds over all tasks. Orders
+    may be of any sortable type; they are unique within a scope.
     """
-    pairs = similar_pairs(items, scope, order)
-    roots = _components(pairs, scope)
+    node = lambda o: F.xxhash64(*scope, o)
+    pairs = cut(similar_pairs(items, scope, order).select(*scope, "a", "b", node("a").alias("na"), node("b").alias("nb")))
+    roots = connected_components(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    roots = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
     if roots.isEmpty():
         return items
-    links = pairs.join(roots.withColumnsRenamed({"o": "a"}), [*scope, "a"]).groupBy(*scope, "root").agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    members = items.join(roots.withColumnsRenamed({"o": order}), [*scope, order])
-    groups = members.groupBy(*scope, "root").agg(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n"))).alias("m"))
-
-    def greedy(batches):
-        for rows in batches:
-            gone = []
-            for m, links in zip(rows["m"], rows["links"], strict=True):
-                size = {x["o"]: x["n"] for x in m}
-                near: dict = {}
-                for x in links:
-                    near.setdefault(x["a"], []).append(x["b"])
-                alive = dict.fromkeys(size, True)
-                for i in sorted(size):
-                    for j in sorted(near.get(i, [])):
-                        if alive[i] and alive[j]:
-                            alive[i if size[j] > size[i] else j] = False
-                gone.append([o for o, ok in alive.items() if not ok])
-            out = rows[scope].copy()
-            out["gone"] = pd.Series(gone, index=rows.index)
-            yield out
-
-    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in scope)
-    gone = groups.join(links, [*scope, "root"]).mapInPandas(greedy, f"{kinds}, gone array<{items.schema[order].dataType.simpleString()}>")
-    return items.join(gone.select(*scope, F.explode("gone").alias(order)), [*scope, order], "left_anti").select(*items.columns)
+    members = items.withColumn("node", node(order)).join(roots, "node")
+    # places within a component are whole numbers, whatever the order is made of
+    place = F.row_number().over(Window.partitionBy("root").orderBy(*scope, order)).cast("long")
+    members = cut(members.select("root", "node", *scope, F.col(order).alias("o"), F.length("text").cast("long").alias("size"), place.alias("k")))
+    side = lambda n, k, size: members.select(F.col("node").alias(n), F.col("k").alias(k), F.col("size").alias(size))
+    links = pairs.select("na", "nb").join(members.select(F.col("node").alias("na"), "root", F.col("k").alias("i"), F.col("size").alias("si")), "na")
+    links = cut(links.join(side("nb", "j", "sj"), "nb").select("root", "i", "j", "si", "sj"))
+    large = cut(links.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("root"))
+    small = links.join(large, "root", "left_anti").groupBy("root").agg(F.collect_list(F.array("i", "j", "si", "sj")).alias("links"))
+    gone = small.mapInPandas(_settle, "root long, k long")
+    if not large.isEmpty():
+        gone = gone.unionAll(_settle_in_rounds(cut(links.join(large, "root", "left_semi"))))
+    dropped = members.join(gone, ["root", "k"], "left_semi").select(*scope, F.col("o").alias(order))
+    return items.join(dropped, [*scope, order], "left_anti").select(*items.columns)
+
+
+def _settle(batches):
+    """The greedy over the links (i, j, size of i, size of j) of whole components."""
+    for rows in batches:
+        roots, gone = [], []
+        for root, links in zip(rows["root"], rows["links"], strict=True):
+            dead = set()
+            for i, j, si, sj in sorted(map(tuple, links)):
+                if i not in dead and j not in dead:
+                    dead.add(i if sj > si else j)
+            roots += [root] * len(dead)
+            gone += dead
+        yield pd.DataFrame({"root": pd.Series(roots, dtype="int64"), "k": pd.Series(gone, dtype="int64")})
+
+
+def _settle_in_rounds(links: DataFrame) -> DataFrame:
+    """(root, k) that the greedy removes, all components and all their settled parts at once.
+
+    A row comes next if it is the least of all its neighbours' neighbours: it removes its
+    neighbours up to the first longer one, which removes it. The least row of a component
+    always comes next, so each round settles some of it.
+    """
+    found, both = None, lambda x: x.select("root", F.col("i").alias("k"), F.col("j").alias("o")).unionAll(x.select("root", F.col("j").alias("k"), F.col("i").alias("o")))
+    while not links.isEmpty():
+        least = both(links).groupBy("root", "k").agg(F.min("o").alias("least"))
+        seen = links.join(least.select("root", F.col("k").alias("i"), F.col("least").alias("li")), ["root", "i"])
+        seen = seen.join(least.select("root", F.col("k").alias("j"), F.col("least").alias("lj")), ["root", "j"])
+        own = seen.groupBy("root", "i").agg(
+            F.min(F.when((F.col("li") < F.col("i")) | (F.col("lj") < F.col("i")), F.col("j"))).alias("wait"),
+            F.min(F.when(F.col("sj") > F.col("si"), F.col("j"))).alias("longer"),
+        )
+        own = own.withColumn("turn", F.col("longer").isNotNull() & (F.col("wait").isNull() | (F.col("longer") < F.col("wait"))))
+        done = links.join(own, ["root", "i"])
+        until = F.when(F.col("turn"), F.col("longer")).otherwise(F.col("wait"))
+        lost = done.filter(until.isNull() | (F.col("j") < until)).select("root", F.col("j").alias("k"))
+        lost = cut(lost.unionAll(own.filter("turn").select("root", F.col("i").alias("k"))).distinct())
+        found = lost if found is None else cut(found.unionAll(lost))
+        for end in ("i", "j"):
+            links = links.join(lost.withColumnRenamed("k", end), ["root", end], "left_anti")
+        links = cut(links)
+    return found
 
 
 def dedupe(items: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
