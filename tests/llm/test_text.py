@@ -1,6 +1,7 @@
 """Mixing, pieces, repetition, quotations and the pipeline against plain versions."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -83,7 +84,7 @@ def test_each_occurrence_has_skips_of_its_own():
         forms[tuple(ids[at:end])] = forms.get(tuple(ids[at:end]), 0) + 1
         at = end
     rng = random.Random(2)
-    drawn = [own.segment(one, sum(1 << k for k in range(40) if rng.random() < 0.1))[0] for _ in range(n)]
+    drawn = [own.segment(one, sum(1 << k for k in range(40) if rng.random() < 0.1)) for _ in range(n)]
     assert len(forms) > 20 and abs(forms[plain] - drawn.count(plain)) < 0.02 * n
     fresh = pieces.Pieces.load()
     assert fresh.encode(" ".join([one.strip()] * n), key=5) == ids
@@ -91,6 +92,83 @@ def test_each_occurrence_has_skips_of_its_own():
     assert own.decode(own.encode(long, key=1)) == long and len({tuple(own.encode(long, key=k)) for k in range(20)}) > 10
 
 
+def mix(h):
+    """The keyed hash, in plain whole numbers."""
+    m = (1 << 64) - 1
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & m
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & m
+    return h ^ h >> 33
+
+
+def plain_agenda(model, text, key, dropout):
+    """Merge-dropout the plain way: one list of symbols, one candidate at a time, one draw each."""
+    m, golden, out = (1 << 64) - 1, 0x9E3779B97F4A7C15, []
+    score = {p: s for p, s, is_byte in model.vocabulary if p and not is_byte}
+    limit = int(dropout * (1 << 32))
+
+    def draw(own, k):
+        if k >= 24:  # beyond the first ones, blocks of 32 with keys of their own
+            block = (k - 24) // 32
+            own, k = own + block * 32 + 1, (k - 24) % 32
+        h = mix(own + (k // 2 * 2 + 1) * golden & m)
+        return (h >> 32 * (k % 2)) & 0xFFFFFFFF
+
+    for place, segment in enumerate(re.findall(r" *[^ \n]+|\n| +", " " + text) if text else []):
+        own = mix(place + key * golden + pieces.SEED * 0xC2B2AE3D27D4EB4F & m)
+        symbols = [pieces.MARK if c == " " else None if c == pieces.MARK else c for c in segment]
+        refused, came = set(), 0
+        ids = list(range(len(symbols)))  # identities, so that a refused pair stays refused until one of it changes
+        fresh = len(ids)
+        while True:
+            best = None
+            for k in range(len(symbols) - 1):
+                if symbols[k] is None or symbols[k + 1] is None or (ids[k], ids[k + 1]) in refused:
+                    continue
+                s = score.get(symbols[k] + symbols[k + 1])
+                if s is not None and (best is None or s > best[0]):
+                    best = (s, k)
+            if best is None:
+                break
+            k, came = best[1], came + 1
+            if draw(own, came - 1) < limit:
+                refused.add((ids[k], ids[k + 1]))
+                continue
+            symbols[k : k + 2], ids[k : k + 2] = [symbols[k] + symbols[k + 1]], [fresh]
+            fresh += 1
+        for s in symbols:
+            if s in model.ids:
+                out.append(model.ids[s])
+            else:
+                out += [model.byte_id[b] for b in (pieces.MARK if s is None else s).encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6, 1.0])
+def test_pieces_equal_a_plain_agenda(dropout):
+    own = pieces.Pieces.load().prepare()
+    rng = random.Random(9)
+    parts = [" ", "  ", "international", "the", "\n", "é", "日本", "\t", "ing", ".", "😀", "\0", "▁", "tion", "abab" * 9, "x" * 60]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "▁", " " * 70]
+    for k, t in enumerate(texts):
+        assert own.encode(t, key=k, dropout=dropout) == plain_agenda(own, t, k, dropout), repr(t)
+
+
+def test_pieces_of_many_and_of_long_texts(monkeypatch):
+    own = pieces.Pieces.load()
+    texts = ["a text of its own " * k for k in range(40)] + ["", "Wörter ohne Ende " * 500]
+    want = [own.encode(t, key=k) for k, t in enumerate(texts)]
+    for load, segments, kept, rows in ((100, 7, 300_000, 5), (10_000, 50, 3, 100_000)):
+        monkeypatch.setattr(pieces, "LOAD_CHARS", load)
+        monkeypatch.setattr(pieces, "LOAD_SEGMENTS", segments)
+        monkeypatch.setattr(pieces, "KEPT", kept)
+        monkeypatch.setattr(pieces, "_ROWS", rows)
+        ids, sizes = own.encode_many(texts, range(len(texts)))
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+        assert own.decode_many(ids, sizes) == texts
+
+
 def test_pieces_on_spark(spark):
     rows = [(1, "Hello  world\n"), (2, ""), (3, None), (None, "▁ x"), (1, "Hello  world\n")]
     vocabulary = pieces.Pieces.load()
@@ -98,6 +176,8 @@ def test_pieces_on_spark(spark):
     back = pieces.decode(encoded, vocabulary)
     assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(map(str, rows))
     assert encoded.filter("doc_id = 2 AND size(ids) = 0").count() == 1 and encoded.filter("doc_id = 3 AND ids IS NULL").count() == 1
+    same = pieces.encode(spark.createDataFrame([(1, "international organisation " * 30)] * 3, "doc_id long, text string").coalesce(1), vocabulary, turns=True, back=True)
+    assert same.select("ids").distinct().count() == 3 and same.select("text").distinct().count() == 1
 
 
 def test_repetition_rules(spark, tmp_path):
