@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from functools import lru_cache, wraps
 from itertools import count
 from re import _parser as parser
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -277,6 +278,9 @@ class SparkDialect:
     def upper(self, t):
         return F.upper(t)
 
+    def pad(self, t, width: int):
+        return F.rpad(t, width, " ")
+
     def repeat_fold(self, t, times: int, body: Callable):
         return F.aggregate(F.sequence(F.lit(1), F.lit(times)), t, lambda acc, _: body(acc))
 
@@ -319,6 +323,9 @@ class DuckDialect:
     def upper(self, t):
         return self._call("upper", t)
 
+    def pad(self, t, width: int):
+        return self._call("rpad", t, width, " ")
+
     def length(self, t):
         return self._call("length", t)
 
@@ -390,3 +397,23 @@ class DuckDialect:
 
 
 SPARK, DUCK = SparkDialect(), DuckDialect()
+_PLANNED: dict[tuple, Column] = {}
+
+
+def planned(rule: Callable) -> Callable:
+    """A large rule is built once per named column: building takes a call to the JVM for each part of it."""
+
+    @wraps(rule)
+    def built(d, *args):
+        if d is not SPARK:
+            return rule(d, *args)
+        names = tuple(str(a) for a in args)
+        # a plain name or literal says all of a column; lambda variables are not told apart by name
+        if not all(re.fullmatch(r"Column<'?[A-Za-z][A-Za-z0-9]*'?>", n) for n in names) or any("lambda" in n.lower() for n in names):
+            return rule(d, *args)
+        key = (rule, names, id(SparkContext._gateway))
+        if key not in _PLANNED:
+            _PLANNED[key] = rule(d, *args)
+        return _PLANNED[key]
+
+    return built

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from memloom.functions import rules as R
 from memloom.functions import text as T
+from memloom.functions.dialect import planned
 
 # lines ------------------------------------------------------------------------------
 
@@ -139,6 +140,7 @@ def slash_help(d, t):
 # blocks -----------------------------------------------------------------------------
 
 
+@planned
 def spec_heading(d, t):
     return _listed(d, t, lambda u: d.matches(u, R.SPEC_HEADINGS))
 
@@ -163,6 +165,7 @@ def block_tail(d, t):
     return d.matches(d.trim(t), r"^[a-z0-9`.-]", icase=False)
 
 
+@planned
 def joins_previous(d, before, t):
     """Whether a line goes on where the line before it stopped."""
     apart = d.matches(before, "^```") | d.matches(t, ["^```", *R.WRAP_BLOCK], icase=False) | d.matches(before, r"[.!?]$")
@@ -192,10 +195,12 @@ def any_rule(d, t, table):
     return out
 
 
+@planned
 def noisy_line(d, t):
     return any_rule(d, t, LINE_RULES)
 
 
+@planned
 def noisy_sentence(d, t):
     return any_rule(d, t, SENTENCE_RULES)
 
@@ -216,6 +221,7 @@ def concrete_bug(d, t):
     return ~veto & (d.matches(t, R.BUGS, icase=False) | of_tool)
 
 
+@planned
 def classify(d, sentence):
     """One of the categories, or null."""
 
@@ -255,6 +261,7 @@ def _reasons(d, category):
     }
 
 
+@planned
 def reasons_text(d, text, category):
     """Comma-separated reasons against a memory; empty: it is good."""
     found = reject_reasons(d, text, category)
@@ -266,6 +273,7 @@ def reasons_text(d, text, category):
     return d.let(found["core"], judge)
 
 
+@planned
 def quality(d, text, category):
     found = reject_reasons(d, text, category)
 
@@ -278,6 +286,7 @@ def quality(d, text, category):
     return d.let(found["core"], judge)
 
 
+@planned
 def suspicious(d, text, category):
     """A survivor that still smells of echo or chrome."""
 

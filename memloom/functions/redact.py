@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from memloom.functions import rules as R
+from memloom.functions.dialect import java, planned
 
 
 def auth_urls_off(d, t):
@@ -41,6 +44,7 @@ def _assignments_off(d, t):
     return d.replace(t, rf"{_LEAD}({_NAMES})(\s*[:=]\s*){_VALUE}", rf"\1\2\3{mark}\4")
 
 
+@planned
 def redact(d, t):
     """Secret values become the placeholder; names, separators and closing punctuation stay.
 
@@ -67,6 +71,34 @@ def findings(d, t, kind: str):
     return d.count(t, FINDINGS[kind])
 
 
+def detect(t):
+    """Array of (kind, match, index) of all secrets of a text, by kind, then place; index counts from 0.
+
+    A lone key mark counts only where no key block is. What is redacted already is none.
+    """
+    name = rf"{_ASSIGN}(?:{R.ASSIGN_VALUE}|\S+)".replace(")*", ")*+")
+    blocks = {"private-key": R.PEM_BLOCK, "key-mark": R.PEM_MARK}
+    kinds = {**blocks, "credentialed-url": R.CREDENTIAL_URL, **R.TOKENS, "oauth-param": R.OAUTH_PARAM, "oauth-state": R.OAUTH_STATE}
+    found = {k: _found(t, java(p), k) for k, p in kinds.items()} | {"env-assignment": _found(t, name, "env-assignment")}
+    found["env-assignment"] = F.filter(found["env-assignment"], lambda x: ~F.contains(x["match"], F.lit(R.PLACEHOLDER)))
+    mark = found.pop("key-mark")
+    marks = F.transform(mark, lambda x: F.struct(F.lit("private-key").alias("kind"), x["match"].alias("match"), x["index"].alias("index")))
+    block = found.pop("private-key")
+    return F.flatten(F.array(F.when(F.size(block) > 0, block).otherwise(marks), *found.values()))
+
+
+def _found(t, pattern: str, kind: str):
+    matches, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+
+    def place(m, at):  # after all that stands between and all matches before
+        upto = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda sum_, x: sum_ + F.length(x))
+        index = upto(between, at + 1) + upto(matches, at)
+        return F.struct(F.lit(kind).alias("kind"), m.alias("match"), index.alias("index"))
+
+    return F.transform(matches, place)
+
+
+@planned
 def redaction_only(d, t):
     mark = R.PLACEHOLDER.replace("[", r"\[").replace("]", r"\]")
     rest = d.replace(d.replace(t, rf"[A-Za-z][A-Za-z0-9_]*\s*[:=]\s*{mark}", " "), mark, " ")

@@ -6,6 +6,7 @@ from memloom.functions import predicates as P
 from memloom.functions import redact as X
 from memloom.functions import rules as R
 from memloom.functions import text as T
+from memloom.functions.dialect import planned
 
 
 def cut_chrome(d, t, patterns):
@@ -15,6 +16,7 @@ def cut_chrome(d, t, patterns):
     return d.replace(t, r"^[ \t]+|[ \t]+$", "", lines=True)
 
 
+@planned
 def scrub_document(d, t):
     """What is done to a transcript before it is split into lines."""
     t = cut_chrome(d, cut_chrome(d, T.strip_controls(d, t), R.CUT_A), R.CUT_B)
@@ -37,6 +39,7 @@ def _lead_ins_off(d, t):
     return d.trim(t)
 
 
+@planned
 def repair(d, raw):
     """A clean, capitalised, closed note; blank if nothing is left."""
 

@@ -342,7 +342,7 @@ QUERY_ALIASES = {
     "code fence": ["code fence", "unclosed code fence", "markdown", "fenced block"],
 }
 DIRECT_FIRST = ["readme", "readme.md"]
-MATCHES_PER_FILE, CONTEXT_CHARS = 8, 3000
+MATCHES_PER_FILE, CONTEXT_CHARS, CLEANED_CHARS = 8, 3000, 4000
 TRUNCATED = "\n\n*[Context truncated for token efficiency]*\n"
 
 # -- fixed values: summary topics -----------------------------------------------------

@@ -96,3 +96,22 @@ def match_token(d, w):
         (d.matches(w, r"^doc", icase=False), "document"), otherwise=d.replace(w, r"(?:ing|ed|s)$", ""),
     )
 
+
+
+def truncated(d, t, n: int):
+    """The first n characters without white space at their end, or the text if it is no longer."""
+    return d.when((d.length(t) > n, d.replace(d.slice(t, 1, n), r"\s+$", "")), otherwise=t)
+
+
+def short(d, t, n: int = 92):
+    """One line of at most n characters; a cut one ends in three dots."""
+
+    def cut(u):
+        return d.when((d.length(u) > n, d.concat(d.replace(d.slice(u, 1, n - 3), r"\s+$", ""), "...")), otherwise=u)
+
+    return d.let(d.trim(d.replace(t, rf"[\s{WIDE_SPACES}]+", " ")), cut)
+
+
+def padded(d, t, width: int):
+    """Blanks up to a width; longer texts stay whole."""
+    return d.when((d.length(t) < width, d.pad(t, width)), otherwise=t)

@@ -99,10 +99,15 @@ def similar(items: DataFrame, scope: list[str], order: str = "ord", together: in
     """
     node = lambda o: F.xxhash64(*scope, o)
     pairs = cut(similar_pairs(items, scope, order).select(*scope, "a", "b", node("a").alias("na"), node("b").alias("nb")))
-    roots = connected_components(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    roots = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
-    if roots.isEmpty():
+    n = pairs.count()
+    if not n:
         return items
+    if n <= together:  # one task settles them all, so they need not be told apart
+        nodes = pairs.select("na").unionAll(pairs.select("nb")).distinct()
+        roots = nodes.select(F.col("na").alias("node"), F.lit(0).cast("long").alias("root"))
+    else:
+        roots = connected_components(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        roots = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
     members = items.withColumn("node", node(order)).join(roots, "node")
     # places within a component are whole numbers, whatever the order is made of
     place = F.row_number().over(Window.partitionBy("root").orderBy(*scope, order)).cast("long")
@@ -110,10 +115,13 @@ def similar(items: DataFrame, scope: list[str], order: str = "ord", together: in
     side = lambda n, k, size: members.select(F.col("node").alias(n), F.col("k").alias(k), F.col("size").alias(size))
     links = pairs.select("na", "nb").join(members.select(F.col("node").alias("na"), "root", F.col("k").alias("i"), F.col("size").alias("si")), "na")
     links = cut(links.join(side("nb", "j", "sj"), "nb").select("root", "i", "j", "si", "sj"))
-    large = cut(links.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("root"))
-    small = links.join(large, "root", "left_anti").groupBy("root").agg(F.collect_list(F.array("i", "j", "si", "sj")).alias("links"))
+    small, large = links, None
+    if n > together:
+        large = cut(links.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("root"))
+        small = links.join(large, "root", "left_anti")
+    small = small.groupBy("root").agg(F.collect_list(F.array("i", "j", "si", "sj")).alias("links"))
     gone = small.mapInPandas(_settle, "root long, k long")
-    if not large.isEmpty():
+    if large is not None and not large.isEmpty():
         gone = gone.unionAll(_settle_in_rounds(cut(links.join(large, "root", "left_semi"))))
     dropped = members.join(gone, ["root", "k"], "left_semi").select(*scope, F.col("o").alias(order))
     return items.join(dropped, [*scope, order], "left_anti").select(*items.columns)

@@ -45,11 +45,10 @@ def _any(low, terms):
 
 
 def find_lines(found: DataFrame) -> DataFrame:
-    """(n, file, text): results as shown, numbered over files by name, redacted."""
-    order = Window.orderBy("file", "line_no")  # at most a few lines a file remain
-    text = X.redact(d, F.regexp_replace("text", r"^[-*]\s+", ""))
-    text = F.when(F.col("file") == "resolved.md", F.concat(F.lit("[resolved] "), text)).otherwise(text)
-    return found.select(F.row_number().over(order).alias("n"), "file", text.alias("text"))
+    """(file, label, n, text): results as shown, numbered within each file, redacted."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))  # a few lines a file
+    label = F.when(F.col("file") == "resolved.md", F.concat("file", F.lit(" (Resolved)"))).otherwise(F.col("file"))
+    return found.select("file", label.alias("label"), place.alias("n"), X.redact(d, F.regexp_replace("text", r"^[-*]\s+", "")).alias("text"))
 
 
 def context(lines: DataFrame, query: str, max_chars: int = R.CONTEXT_CHARS) -> str:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import predicates as P
 from memloom.functions import redact as X
 from memloom.functions import repair as Rp
 from memloom.functions import rules as R
+from memloom.functions import text as T
 from memloom.functions.dialect import SPARK as d
 from memloom.operators import dedupe as D
 from memloom.operators import resolve as Rs
 from memloom.operators import search as Q
+from memloom.operators import segment as G
+from memloom.operators.graph import numbered
 from memloom.operators.summarize import counts, summaries
 from memloom.plans import extract as E
 from memloom.plans.session import cut
@@ -21,19 +24,26 @@ from memloom.sources.store import Store
 
 
 class Engine:
-    """Memories of coding sessions, kept under `root`."""
+    """Memories of coding sessions, kept under `root`; `notes` may name a folder of further Markdown files to search."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, notes: str | None = None):
+        self.spark, self.store, self.notes = spark, Store(spark, root), notes
 
     # capture ------------------------------------------------------------------------
 
     def inspect(self, sessions: DataFrame) -> DataFrame:
-        """Per session: metadata, size, cleaned line count, counts by category, summary. Stores nothing."""
+        """Per session: metadata, size, counts by category, summary. Stores nothing."""
         rows = cut(E.memories(sessions))
         report = counts(rows, "session_id").join(summaries(rows, "session_id"), "session_id", "left")
         return sessions.drop("raw_text").join(report, "session_id", "left").fillna(0, R.CATEGORIES)
 
+    def cleaned(self, sessions: DataFrame, max_chars: int = R.CLEANED_CHARS) -> DataFrame:
+        """(session_id, cleaned_text, truncated): what is left of each transcript, cut for display."""
+        lines = G.clean_lines(sessions).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+        whole = sessions.select("session_id").join(lines, "session_id", "left")
+        whole = whole.withColumn("t", F.coalesce(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit("")))
+        return whole.select("session_id", T.truncated(d, F.col("t"), max_chars).alias("cleaned_text"), (F.length("t") > max_chars).alias("truncated"))
+
     def summarize(self, sessions: DataFrame, dry_run: bool = False) -> dict[str, int]:
         """Extract and store; dry_run counts what would be stored."""
         return self._merge(self._new_items(cut(E.memories(sessions))), dry_run)
@@ -46,43 +56,69 @@ class Engine:
         told = told.select(F.lit("summaries").alias("category"), F.lit(0).cast("long").alias("ord"), F.col("summary").alias("text"), F.col("session_id").alias("session"))
         return said.unionByName(told)
 
+    @staticmethod
+    def _cleaned(stored: DataFrame) -> DataFrame:
+        """Stored memories, repaired and judged anew: what older rules let in goes. The place is a dense number."""
+        fixed = F.explode(F.array(Rp.repair(d, F.col("text"))))  # a fence: the rules are planned once
+        rows = stored.withColumn("_fixed", fixed)
+        rows = cut(rows.withColumn("_good", (F.col("_fixed") != "") & P.quality(d, F.col("_fixed"), F.col("category"))))
+        if rows.filter("NOT _good OR _fixed <> text").isEmpty():
+            return rows.drop("_fixed", "_good")
+        rows = cut(rows.filter("_good").withColumn("text", F.col("_fixed")).drop("_fixed", "_good"))
+        kept = D.dedupe(rows.select("category", "ord", "text"), ["category"]).select("category", "ord", "text")
+        return cut(numbered(kept.join(rows.drop("text"), ["category", "ord"]).select(*stored.columns), "category", ["ord"], "_n").withColumn("ord", F.col("_n")).drop("_n"))
+
     def _merge(self, new: DataFrame, dry_run: bool = False) -> dict[str, int]:
-        """New items before stored ones, de-duplicated per category; growth by category (replacing a poorer one adds 0)."""
-        stored = self.store.items()
-        fresh = new.withColumn("item_date", F.current_date()).withColumn("source", F.col("session")).withColumn("_age", F.lit(0))
-        both = cut(fresh.unionByName(stored.withColumn("_age", F.lit(1)))).withColumn("key", F.struct("_age", "session", "ord"))
-        memory = both.filter("category <> 'summaries'")
-        kept = D.dedupe(memory.select("category", "key", "text"), ["category"], "key").select("category", "key", "text")
-        lineage = memory.groupBy("category", "key").agg(F.first("session").alias("session"), F.min("item_date").alias("item_date"), F.first("source").alias("source"))
-        kept = kept.join(lineage, ["category", "key"])
-        told = both.filter("category = 'summaries'").groupBy("category", "text").agg(
-            F.min("key").alias("key"), F.min("session").alias("session"), F.min("item_date").alias("item_date"), F.min("source").alias("source")
-        )
-        rows = kept.unionByName(told.select(kept.columns))
-        rows = cut(rows.withColumn("ord", F.row_number().over(Window.partitionBy("category").orderBy("key")).cast("long")).drop("key"))
-        before, after = self._counts(stored), self._counts(rows)
-        if not dry_run and not rows.isEmpty():
-            self.store.put_items(rows)
-        return {c: max(0, after.get(c, 0) - before.get(c, 0)) for c in [*R.CATEGORIES, "summaries"]}
+        """New items before stored ones, de-duplicated per category; growth by category (replacing a poorer one adds 0).
+
+        A category without new items stays as it is. The last session's summary replaces the
+        stored one. If nothing changes, no version is written.
+        """
+        new, stored = cut(new), cut(self.store.items())
+        grown = sorted(r[0] for r in new.filter("category <> 'summaries'").select("category").distinct().collect())
+        out = dict.fromkeys([*R.CATEGORIES, "summaries"], 0)
+        rest, changed = stored, False
+        if grown:
+            had = self._cleaned(stored.filter(F.col("category").isin(*grown)))
+            fresh = new.filter("category <> 'summaries'").withColumn("item_date", F.current_date()).withColumn("source", F.col("session"))
+            fresh = fresh.withColumn("key", F.struct(F.lit(0).alias("age"), F.col("session").alias("said_in"), F.col("ord").alias("at")))
+            before = had.withColumn("key", F.struct(F.lit(1).alias("age"), F.lit("").alias("said_in"), F.col("ord").alias("at")))
+            both = cut(fresh.unionByName(before))
+            kept = D.dedupe(both.select("category", "key", "text"), ["category"], "key").select("category", "key", "text")
+            lineage = both.groupBy("category", "key").agg(F.first("session").alias("session"), F.min("item_date").alias("item_date"), F.first("source").alias("source"))
+            merged = cut(numbered(cut(kept.join(lineage, ["category", "key"])), "category", ["key"], "ord").drop("key"))
+            place = ["category", "ord", "text"]
+            was, now = self._counts(had), self._counts(merged)
+            changed = was != now or not merged.select(*place).join(had.select(*place), place, "left_anti").isEmpty()
+            out |= {c: max(0, now.get(c, 0) - was.get(c, 0)) for c in grown}
+            if changed:
+                rest = rest.filter(~F.col("category").isin(*grown)).unionByName(merged.select(*stored.columns))
+        last = new.filter("category = 'summaries'").agg(F.max_by(F.struct("text", "session"), F.struct("session", "ord")).alias("s")).first()["s"]
+        if last is not None and stored.filter((F.col("category") == "summaries") & (F.col("text") == last["text"])).isEmpty():
+            told = self.spark.createDataFrame([("summaries", 1, last["text"], last["session"])], "category string, ord long, text string, session string")
+            told = told.withColumn("item_date", F.current_date()).withColumn("source", F.col("session"))
+            rest, changed, out["summaries"] = rest.filter("category <> 'summaries'").unionByName(told), True, 1
+        if changed and not dry_run:
+            self.store.put_items(rest)
+        return out
 
     @staticmethod
     def _counts(items: DataFrame) -> dict[str, int]:
         return {r[0]: r[1] for r in items.groupBy("category").count().collect()}  # a row a category
 
     def rebuild(self, sessions: DataFrame, dry_run: bool = False) -> DataFrame:
-        """Replace the store by what all sessions say; the version before stays as the backup."""
-        rows = cut(E.rebuild(sessions))
-        per_session = summaries(cut(E.memories(sessions)), "session_id").filter("summary <> ''")
-        told = per_session.groupBy("summary").agg(F.min("session_id").alias("session")).select(
-            F.lit("summaries").alias("category"), F.lit(0).cast("long").alias("ord"), F.col("summary").alias("text"), "session"
+        """Replace the store by what all sessions say, in the order of their names; the version before stays as the backup."""
+        said = cut(E.memories(sessions))
+        told = summaries(said, "session_id").filter("summary <> ''").select(
+            F.lit("summaries").alias("category"), F.struct(F.col("session_id").alias("session"), F.lit(0).cast("long").alias("ord")).alias("key"), F.col("summary").alias("text")
         )
-        all_rows = rows.unionByName(told)
-        number = F.row_number().over(Window.partitionBy("category").orderBy("session", "ord")).cast("long")
-        all_rows = all_rows.withColumn("ord", number).withColumn("item_date", F.current_date()).withColumn("source", F.col("session"))
-        all_rows = cut(all_rows)
+        told = D.dedupe(told, ["category"], "key").select("category", "text", F.col("key.session").alias("session"), F.col("key.ord").alias("at"))
+        rows = E.rebuilt(said).select("category", "text", "session", F.col("ord").alias("at")).unionByName(told)
+        rows = numbered(cut(rows), "category", ["session", "at"], "ord").drop("at")
+        rows = cut(rows.withColumn("item_date", F.current_date()).withColumn("source", F.col("session")))
         if not dry_run:
-            self.store.put_items(all_rows)
-        return all_rows
+            self.store.put_items(rows)
+        return rows
 
     # look up ------------------------------------------------------------------------
 
@@ -103,15 +139,23 @@ class Engine:
         return self.list().filter(F.lower("id") == item_id.lower())
 
     def delete(self, item_id: str) -> int:
+        """How many items went; those after them move up."""
         rows = cut(S.display_ids(self.store.items()))
         hit = rows.filter(F.lower("id") == item_id.lower())
         n = hit.count()
         if n:
-            self.store.put_items(cut(rows.join(hit.select("id"), "id", "left_anti").drop("id")))
+            left = rows.join(hit.select("id"), "id", "left_anti").drop("id")
+            self.store.put_items(cut(numbered(left, "category", ["ord"], "_n").withColumn("ord", F.col("_n")).drop("_n")))
         return n
 
     def lines(self) -> DataFrame:
-        return self.store.items().select(F.concat("category", F.lit(".md")).alias("file"), F.col("ord").alias("line_no"), F.concat(F.lit("- "), "text").alias("text"))
+        """(file, line_no, text) to search: stored items, and every other Markdown file of the notes."""
+        own = self.store.items().select(F.concat("category", F.lit(".md")).alias("file"), F.col("ord").alias("line_no"), F.concat(F.lit("- "), "text").alias("text"))
+        if self.notes is None:
+            return own
+        known = [f"{c}.md" for c in R.TITLES]
+        more = S.memory_lines(self.spark, self.notes).filter(~F.col("file").isin(*known))
+        return own.unionByName(more.withColumn("line_no", F.col("line_no").cast("long")))
 
     def find(self, query: str) -> DataFrame:
         return Q.find_lines(Q.search(self.lines(), query))
@@ -120,48 +164,51 @@ class Engine:
         return Q.context(self.lines(), query, max_chars)
 
     def status(self, sessions: DataFrame) -> dict[str, int]:
-        """Counts of sessions, reviews and items."""
+        """Counts of sessions, reviews and items; all categories are there."""
         markers = self.store.markers()
-        out = {"sessions": sessions.count(), "pending": S.pending(sessions, markers).count(), "reviewed": markers.count()}
-        out["skipped"] = markers.filter("status = 'skipped'").count()
-        return out | {c: self._counts(self.store.items()).get(c, 0) for c in [*R.CATEGORIES, "summaries"]}
+        by_status = {r[0]: r[1] for r in markers.groupBy("status").count().collect()}
+        out = {"sessions": sessions.count(), "pending": S.pending(sessions, markers).count(), "reviewed": sum(by_status.values())}
+        out["skipped"] = by_status.get("skipped", 0)
+        return out | dict.fromkeys([*R.CATEGORIES, "summaries"], 0) | self._counts(self.store.items())
 
     # review and resolve -------------------------------------------------------------
 
     def review(self, session: DataFrame) -> DataFrame:
-        """(id, category, ord, text, session_id, suspicious, redacted): candidates of a session."""
-        rows = cut(E.memories(session))
-        items = self._new_items(rows)
-        number = F.row_number().over(Window.partitionBy("category").orderBy("session", "ord")).cast("long")
-        items = S.display_ids(items.withColumn("ord", number))
+        """(id, category, ord, text, session, suspicious, redacted): candidates of a session."""
+        items = S.display_ids(self._new_items(cut(E.memories(session))), ("session",))
         flags = items.withColumn("suspicious", P.suspicious(d, F.col("text"), F.col("category")))
         return flags.withColumn("redacted", F.contains("text", F.lit(R.PLACEHOLDER)))
 
     def accept(self, session: DataFrame, ids: str = "all", suspicious: bool = False, summary: bool = True) -> dict[str, int]:
-        """Store chosen candidates ('all' but suspicious ones, or ids by comma) and mark the session."""
+        """Store chosen candidates ('all' but suspicious ones, or ids by comma, in that order) and mark the session."""
         found = cut(self.review(session))
         if ids.strip().lower() == "all":
             chosen = found if suspicious else found.filter("NOT suspicious")
         else:
             wanted = list(dict.fromkeys(x.strip().lower() for x in ids.split(",") if x.strip()))
-            known = {r[0].lower() for r in found.select("id").filter(F.lower("id").isin(*wanted)).collect()}
+            known = {r[0].lower() for r in found.select("id").filter(F.lower("id").isin(*wanted)).distinct().collect()}
             if not wanted or set(wanted) - known:
                 raise ValueError(f"no such candidates: {sorted(set(wanted) - known)}")
             chosen = found.filter(F.lower("id").isin(*wanted))
+            chosen = chosen.withColumn("ord", F.array_position(F.array(*map(F.lit, wanted)), F.lower("id")).cast("long"))
         chosen = chosen if summary else chosen.filter("category <> 'summaries'")
         any_chosen, any_found = not chosen.isEmpty(), not found.isEmpty()
         written = self._merge(chosen.select("category", "ord", "text", "session")) if any_chosen else {}
         if any_chosen or (ids.strip().lower() == "all" and not any_found):
-            for (name,) in session.select("session_id").collect():
-                self.store.mark(name, "reviewed", written)
+            self.store.mark(session.select(F.col("session_id").alias("session")), "reviewed", written)
         return written
 
     def skip(self, session: DataFrame) -> None:
-        for (name,) in session.select("session_id").collect():
-            self.store.mark(name, "skipped", {})
+        self.store.mark(session.select(F.col("session_id").alias("session")), "skipped", {})
 
     def pending(self, sessions: DataFrame) -> DataFrame:
-        return S.newest_first(S.pending(sessions, self.store.markers()))
+        """Unmarked sessions, newest first, with counts by category, `empty` if nothing is to be had, size and day."""
+        left = cut(S.pending(sessions, self.store.markers()))
+        out = self.inspect(left).withColumn("summary", F.coalesce("summary", F.lit("")))
+        nothing = F.col("summary") == ""
+        for c in R.CATEGORIES:
+            nothing = nothing & (F.col(c) == 0)
+        return S.newest_first(out.withColumn("empty", nothing).withColumn("day", F.to_date("mtime")))
 
     def resolve(self, item: str) -> dict:
         """By id of an open bug or to-do, or by text. Returns what was added and the other open items it settles."""

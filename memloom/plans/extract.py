@@ -30,10 +30,15 @@ def report(sessions: DataFrame, key: str = "session_id", raw: str = "raw_text")
 
 
 def rebuild(sessions: DataFrame, key: str = "session_id", raw: str = "raw_text") -> DataFrame:
-    """(category, ord, text, session): memories of all sessions merged, sessions by name.
+    """(category, ord, text, session): memories of all sessions merged, sessions by name."""
+    return rebuilt(cut(memories(sessions, key, raw)), key)
+
+
+def rebuilt(said: DataFrame, key: str = "session_id") -> DataFrame:
+    """The same of memories that are there already.
 
     The order key is a struct (session, ord), so no global numbering is needed.
     """
-    rows = memories(sessions, key, raw).select("category", F.struct(F.col(key).alias("session"), "ord").alias("ord"), "text")
-    merged = D.dedupe(cut(rows), ["category"])
+    rows = said.select("category", F.struct(F.col(key).alias("session"), "ord").alias("ord"), "text")
+    merged = D.dedupe(rows, ["category"])
     return merged.select("category", F.col("ord.ord").alias("ord"), "text", F.col("ord.session").alias("session"))

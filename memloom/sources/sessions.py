@@ -113,15 +113,30 @@ def memory_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("name").alias("file"), F.posexplode(F.split(strip_frontmatter(F.col("value")), "\n", -1)).alias("line_no", "text"))
 
 
-def display_ids(items: DataFrame) -> DataFrame:
-    """decision-1, decision-2, ... by category and order; ids follow the present order, as in listings."""
+def display_ids(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """decision-1, decision-2, ... by category and `ord`, as in listings.
+
+    Stored items have their place in the category as `ord`. With a scope, each of its
+    categories is counted from 1 by the order of `ord`.
+    """
     from pyspark.sql import Window
 
     one = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in R.SINGULAR.items() for x in kv)), F.col("category")), F.col("category"))
-    n = F.row_number().over(Window.partitionBy("category").orderBy("ord"))
+    n = F.row_number().over(Window.partitionBy(*scope, "category").orderBy("ord")) if scope else F.col("ord")
     return items.withColumn("id", F.concat(one, F.lit("-"), n.cast("string")))
 
 
+def id_of_text(items: DataFrame) -> DataFrame:
+    """(text, id): of items of equal text the last one's id, in listing order."""
+    rank = F.array_position(F.array(*map(F.lit, R.TITLES)), F.col("category"))
+    return items.groupBy("text").agg(F.max_by("id", F.struct(rank.alias("r"), F.col("ord").alias("o"))).alias("id"))
+
+
+def by_name(sessions: DataFrame) -> DataFrame:
+    """Sessions in the order of their names, over range partitions."""
+    return sessions.repartitionByRange("session_id").sortWithinPartitions("session_id")
+
+
 def marker_name(session: Column) -> Column:
     """Sanitised key under which a session is marked as reviewed."""
     base = F.regexp_replace(F.regexp_extract(session, r"([^/\\]*)\z", 1), r"[^a-zA-Z0-9._-]", "_")
