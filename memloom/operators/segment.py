@@ -20,21 +20,24 @@ def transcript_lines(sessions: DataFrame, key: str = "session_id", raw: str = "r
     return rows.filter(~P.noisy_line(d, F.col("text")))
 
 
-def drop_spec_blocks(lines: DataFrame, key: str = "session_id") -> DataFrame:
-    """Pasted envelopes go, then headings with the bullets beneath them; both by windows over a session."""
+def drop_envelopes(lines: DataFrame, key: str = "session_id") -> DataFrame:
+    """Lines of pasted envelopes go, by a window over a session."""
     t = F.col("text")
     order = Window.partitionBy(key).orderBy("line_no")
-    until = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.withColumn("_start", P.envelope_start(d, t)).withColumn("_end", P.envelope_end(d, t))
-    last_start = F.max(F.when(F.col("_start"), F.col("line_no"))).over(before)
-    last_end = F.max(F.when(F.col("_end"), F.col("line_no"))).over(until)
+    last_start = F.max(F.when(F.col("_start"), F.col("line_no"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    last_end = F.max(F.when(F.col("_end"), F.col("line_no"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     inside = F.col("_start") | F.coalesce(last_start >= F.coalesce(last_end, F.lit(-1)), F.lit(False))
-    rows = rows.withColumn("_inside", inside).filter(~F.col("_inside"))
+    return rows.withColumn("_inside", inside).filter(~F.col("_inside")).select(*lines.columns)
+
 
+def drop_headed_blocks(lines: DataFrame, key: str = "session_id") -> DataFrame:
+    """Headings go, and the bullets beneath them."""
+    t = F.col("text")
+    until = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.when(P.spec_heading(d, t), "heading").when(P.bullet(d, t), "bullet").when(P.numbered_or_blank(d, t), "listed")
     kind = kind.when(P.block_tail(d, t), "tail").otherwise("prose")
-    rows = rows.withColumn("_kind", kind)
+    rows = lines.withColumn("_kind", kind)
     rows = rows.withColumn("_block", F.sum((F.col("_kind") == "heading").cast("int")).over(until))
     block = Window.partitionBy(key, "_block")
     first = {k: F.min(F.when(F.col("_kind") == k, F.col("line_no"))).over(block) for k in ("bullet", "prose")}
@@ -46,6 +49,11 @@ def drop_spec_blocks(lines: DataFrame, key: str = "session_id") -> DataFrame:
     return rows.filter(keep).select(*lines.columns)
 
 
+def drop_spec_blocks(lines: DataFrame, key: str = "session_id") -> DataFrame:
+    """Pasted envelopes go, then headings with the bullets beneath them."""
+    return drop_headed_blocks(drop_envelopes(lines, key), key)
+
+
 def unwrap(lines: DataFrame, key: str = "session_id") -> DataFrame:
     """Soft-wrapped lines are joined to the line they go on from."""
     order = Window.partitionBy(key).orderBy("line_no")
@@ -82,17 +90,28 @@ def split_compound(sentence: Column) -> Column:
     return F.filter(out.otherwise(F.array(sentence)), lambda x: x != "")
 
 
+def compounds(lines: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, line_no, whole_no, part_no, text): the parts of each sentence."""
+    whole = lines.select(key, "line_no", F.posexplode(split_sentences(T.metadata_off(d, F.col("text")))).alias("whole_no", "whole"))
+    return whole.select(key, "line_no", "whole_no", F.posexplode(split_compound(F.col("whole"))).alias("part_no", "text"))
+
+
 def sentences(lines: DataFrame, key: str = "session_id") -> DataFrame:
     """(key, line_no, sent_no, text): one row per candidate statement."""
     parts = F.flatten(F.transform(split_sentences(T.metadata_off(d, F.col("text"))), split_compound))
     return lines.select(key, "line_no", F.posexplode(parts).alias("sent_no", "text"))
 
 
-def candidates(rows: DataFrame, key: str = "session_id") -> DataFrame:
-    """(key, line_no, sent_no, category, raw, text): classified, repaired, good memories."""
+def judged(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, line_no, sent_no, category, raw, text, good): what sentences are, repaired, and whether they are worth keeping."""
     t = F.col("text")
     kept = rows.filter(~P.noisy_sentence(d, t) & ~X.redaction_only(d, t))
     # arrays of at most one element: each explode is a fence that keeps Catalyst from copying the rules
     kept = kept.select(key, "line_no", "sent_no", t.alias("raw"), F.explode(F.array(P.classify(d, t))).alias("category")).filter("category IS NOT NULL")
     kept = kept.select(key, "line_no", "sent_no", "category", "raw", F.explode(F.array(Rp.repair(d, F.col("raw")))).alias("text"))
-    return kept.filter((F.col("text") != "") & P.quality(d, F.col("text"), F.col("category")))
+    return kept.withColumn("good", (F.col("text") != "") & P.quality(d, F.col("text"), F.col("category")))
+
+
+def candidates(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, line_no, sent_no, category, raw, text): classified, repaired, good memories."""
+    return judged(rows, key).filter("good").drop("good")

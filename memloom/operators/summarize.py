@@ -17,6 +17,15 @@ def counts(memories: DataFrame, key: str = "session_id") -> DataFrame:
     return memories.groupBy(key).agg(*(F.count_if(F.col("category") == c).alias(c) for c in R.CATEGORIES))
 
 
+def status(items: DataFrame, settled: DataFrame, key: str = "ord") -> DataFrame:
+    """(category, n, open): items of each category, all of them listed, and how many bugs and to-dos no `settled` key (one column) settles."""
+    every = items.sparkSession.createDataFrame([(c,) for c in R.TITLES], "category string")
+    done = settled.select(F.col(settled.columns[0]).alias(key)).distinct().withColumn("_done", F.lit(True))
+    rows = items.join(done, key, "left").withColumn("_open", F.col("category").isin("bugs", "todos") & F.col("_done").isNull())
+    found = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("_open").alias("open"))
+    return every.join(found, "category", "left").fillna(0, ["n", "open"])
+
+
 def _key(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", " "))
 

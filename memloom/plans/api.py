@@ -189,8 +189,7 @@ class Engine:
             known = {r[0].lower() for r in found.select("id").filter(F.lower("id").isin(*wanted)).distinct().collect()}
             if not wanted or set(wanted) - known:
                 raise ValueError(f"no such candidates: {sorted(set(wanted) - known)}")
-            chosen = found.filter(F.lower("id").isin(*wanted))
-            chosen = chosen.withColumn("ord", F.array_position(F.array(*map(F.lit, wanted)), F.lower("id")).cast("long"))
+            chosen = S.chosen(found, wanted)
         chosen = chosen if summary else chosen.filter("category <> 'summaries'")
         any_chosen, any_found = not chosen.isEmpty(), not found.isEmpty()
         written = self._merge(chosen.select("category", "ord", "text", "session")) if any_chosen else {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import predicates as P
@@ -15,11 +15,12 @@ from memloom.operators import dedupe as D
 from memloom.operators import resolve as Rs
 from memloom.operators import search as Q
 from memloom.operators import segment as G
-from memloom.operators.summarize import counts, summaries
+from memloom.operators.graph import connected_components, numbered
+from memloom.operators.summarize import counts, status, summaries
 from memloom.plans import extract as E
 from memloom.plans.corpus import CORPUS_SQL, transcript_lines, transcripts
 from memloom.plans.session import cut, prepared
-from memloom.sources.sessions import display_ids
+from memloom.sources.sessions import chosen, display_ids, newest, pending
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,7 +163,48 @@ def dice_pairs(spark, sf_dir):
     return D.similar_pairs(cut(rows), ["scope"], percent=60).select("a", "b")
 
 
-@query("fuzzy_dedupe")
+@query("near_dup_components", f"""WITH RECURSIVE {_BENCH_BIGRAMS}, o AS (
+  SELECT x.item_id AS a, y.item_id AS b, SUM(LEAST(x.n, y.n)) AS o FROM g x JOIN g y ON x.g = y.g AND x.item_id < y.item_id GROUP BY ALL
+), l AS (SELECT a, b FROM o JOIN s sa ON sa.item_id = a JOIN s sb ON sb.item_id = b WHERE 200 * o >= 60 * (sa.total + sb.total)),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT x AS item_id, MIN(y) AS component FROM r GROUP BY x""")
+def near_dup_components(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select(F.lit("all").alias("scope"), F.col("item_id").cast("long").alias("ord"), T.normal_form(SPARK, F.col("text")).alias("norm"))
+    pairs = cut(D.similar_pairs(cut(rows), ["scope"], percent=60).select("a", "b"))
+    roots = connected_components(pairs)
+    of = roots.select(F.col("node").alias("item_id"), F.col("root").alias("component"))
+    return of.unionAll(roots.select(F.col("root").alias("item_id"), F.col("root").alias("component")).distinct())
+
+
+def _contained_sql(name: str, source: str) -> str:
+    """Of (scope, ord, text, norm) those that no longer form of their scope contains."""
+    return f"""{name} AS MATERIALIZED (SELECT scope, ord, text, norm FROM {source} a WHERE NOT EXISTS (
+  SELECT 1 FROM {source} b WHERE b.scope = a.scope AND length(b.norm) > length(a.norm) AND contains(b.norm, a.norm)))"""
+
+
+def _greedy_sql(name: str, source: str, p: str = "z") -> str:
+    """The greedy over similar rows of (scope, ord, text, norm), pair after pair; ord is unique and sorts."""
+    return f"""{p}n AS (SELECT scope, ord, text, ROW_NUMBER() OVER (ORDER BY scope, ord) AS i,
+  CASE WHEN length(norm) < 2 THEN [] ELSE list_transform(range(1, length(norm)), lambda k: substring(norm, CAST(k AS INTEGER), 2)) END AS raw FROM {source}),
+{p}u AS (SELECT i, g, ROW_NUMBER() OVER (PARTITION BY i, g) AS k FROM (SELECT i, UNNEST(raw) AS g FROM {p}n)),
+{p}b AS (SELECT i, list(g || '#' || k) AS bs FROM {p}u GROUP BY i),
+{p}m AS MATERIALIZED (SELECT scope, ord, text, n.i, bs, len(bs) AS m FROM {p}n n JOIN {p}b b ON b.i = n.i),
+{p}p AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY a.i, b.i) AS k, a.i AS a, b.i AS b, CASE WHEN length(b.text) > length(a.text) THEN a.i ELSE b.i END AS loser
+  FROM {p}m a JOIN {p}m b ON a.scope = b.scope AND a.i < b.i AND a.m * 115 >= b.m * 85 AND b.m * 115 >= a.m * 85
+  WHERE 200 * len(list_intersect(a.bs, b.bs)) >= {R.SIMILAR_PERCENT} * (a.m + b.m)),
+{p}g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS dead UNION ALL
+  SELECT g.k + 1, CASE WHEN list_contains(g.dead, p.a) OR list_contains(g.dead, p.b) THEN g.dead ELSE list_append(g.dead, p.loser) END
+  FROM {p}g g JOIN {p}p p ON p.k = g.k + 1),
+{name} AS (SELECT scope, ord, text FROM {p}n WHERE i NOT IN (SELECT UNNEST((SELECT arg_max(dead, k) FROM {p}g))))"""
+
+
+@query("fuzzy_dedupe", f"""WITH RECURSIVE ci AS (
+  SELECT c.role AS scope, lpad(CAST(conv_id AS VARCHAR), 19, '0') || '/' || lpad(CAST(turn AS VARCHAR), 19, '0') || '/' || lpad(CAST(u.i AS VARCHAR), 19, '0') AS ord,
+    u.line AS text, {T.normal_form(DUCK, Sql("u.line"))} AS norm
+  FROM conversations c, LATERAL (SELECT UNNEST(ls) AS line, UNNEST(range(len(ls))) AS i FROM (SELECT string_split(c.text, chr(10)) AS ls)) u
+), ex AS MATERIALIZED (SELECT scope, norm, MIN(ord) AS ord, arg_min(text, (-length(text), ord)) AS text FROM ci GROUP BY scope, norm),
+{_contained_sql("ct", "ex")}, {_greedy_sql("gr", "ct")} SELECT scope, gr.ord, gr.text, norm FROM gr JOIN ct USING (scope, ord)""")
 def fuzzy_dedupe(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("scope"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     # the place as a string that sorts like it: a packed number is not unique beyond 99 turns or 9,999 lines
@@ -202,6 +244,7 @@ _UNWRAP = f"""u1 AS (SELECT *, LAG(text) OVER (PARTITION BY session_id ORDER BY
 u2 AS (SELECT *, CASE WHEN prev IS NOT NULL AND {P.joins_previous(DUCK, Sql("prev"), Sql("text"))} THEN 0 ELSE 1 END AS fresh FROM u1),
 u3 AS (SELECT *, SUM(fresh) OVER (PARTITION BY session_id ORDER BY line_no) AS g FROM u2),
 uw AS (SELECT session_id, MIN(line_no) AS line_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM u3 GROUP BY session_id, g)"""
+_ENVELOPED = _BLOCKS[: _BLOCKS.index("w3 AS")] + "ev AS (SELECT session_id, line_no, text FROM w2 WHERE NOT (st OR COALESCE(ls, -1) > COALESCE(le, -1) OR (ls IS NOT NULL AND ls = le)))"
 _CLEAN = f"""cl AS (SELECT session_id, line_no, {X.redact(DUCK, X.auth_residue_off(DUCK, Sql("text")))} AS text
   FROM uw WHERE NOT {P.noisy_line(DUCK, Sql("text"))})"""
 
@@ -240,6 +283,16 @@ def clean_filter(spark, sf_dir):
     return _as_long(G.transcript_lines(transcripts(spark, sf_dir)), "line_no")
 
 
+#: Lines that open and close an envelope, put over some of each session.
+_OPENED = """CASE line_no % 7 WHEN 0 THEN 'We are working on it' WHEN 4 THEN '• done' ELSE text END AS text"""
+
+
+@query("envelope_drop", f"{_upto(_SCRUBBED.replace('l1 AS', 'lx AS'), f'l1 AS (SELECT session_id, line_no, {_OPENED} FROM lx)', _ENVELOPED)} SELECT {_LINE_COLUMNS} FROM ev")
+def envelope_drop(spark, sf_dir):
+    lines = G.transcript_lines(transcripts(spark, sf_dir)).selectExpr("session_id", "line_no", _OPENED)
+    return _as_long(G.drop_envelopes(cut(lines)), "line_no")
+
+
 @query("spec_block_drop", f"{_upto(_SCRUBBED, _BLOCKS)} SELECT {_LINE_COLUMNS} FROM bl")
 def spec_block_drop(spark, sf_dir):
     return _as_long(G.drop_spec_blocks(cut(G.transcript_lines(transcripts(spark, sf_dir)))), "line_no")
@@ -269,6 +322,25 @@ def sentence_split(spark, sf_dir):
     return _as_long(G.sentences(_cleaned(spark, sf_dir)), "line_no", "sent_no")
 
 
+@query("compound_split", f"{_TO_SENTENCES}, sp AS (SELECT session_id, line_no, UNNEST(ss) AS s, UNNEST(range(len(ss))) AS w FROM s0), "
+       f"pt AS (SELECT session_id, line_no, w, list_filter({_halves()}, lambda x: x <> '') AS ps FROM sp) "
+       "SELECT session_id, CAST(line_no AS BIGINT) AS line_no, CAST(w AS BIGINT) AS whole_no, CAST(UNNEST(range(len(ps))) AS BIGINT) AS part_no, UNNEST(ps) AS text FROM pt")
+def compound_split(spark, sf_dir):
+    return _as_long(G.compounds(_cleaned(spark, sf_dir)), "line_no", "whole_no", "part_no")
+
+
+@query("classify_counts", f"{_TO_SENTENCES} SELECT category, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT {P.classify(DUCK, Sql('text'))} AS category FROM se) GROUP BY category")
+def classify_counts(spark, sf_dir):
+    return G.sentences(_cleaned(spark, sf_dir)).groupBy(P.classify(SPARK, F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("quality_gate", f"{_TO_CANDIDATES} SELECT {_PLACE}, category, text, text <> '' AND {P.quality(DUCK, Sql('text'), Sql('category'))} AS good, "
+       f"{P.quality(DUCK, Sql('substring(text, 1, 12)'), Sql('category'))} AS good_short FROM c2")
+def quality_gate(spark, sf_dir):
+    rows = _as_long(G.judged(G.sentences(_cleaned(spark, sf_dir))), "line_no", "sent_no").drop("raw")
+    return rows.withColumn("good_short", P.quality(SPARK, F.substring("text", 1, 12), F.col("category")))
+
+
 @query("classify_rows", f"{_TO_SENTENCES} SELECT {_PLACE}, {P.classify(DUCK, Sql('text'))} AS category FROM se")
 def classify_rows(spark, sf_dir):
     rows = _as_long(G.sentences(_cleaned(spark, sf_dir)), "line_no", "sent_no")
@@ -323,24 +395,65 @@ def extract_distinct(spark, sf_dir):
     return D.contained(cut(D.exact_distinct(rows, scope)), scope).select("session_id", "category", "ord", "text")
 
 
-@query("display_ids", f"{_TO_CANDIDATES} SELECT category, CAST(ord AS BIGINT) AS ord, (CASE category WHEN 'resolved' THEN 'resolved' ELSE rtrim(category, 's') END) || '-' || "
-       "ROW_NUMBER() OVER (PARTITION BY category ORDER BY ord) AS id FROM (SELECT DISTINCT category, line_no * 10000 + sent_no AS ord FROM ca WHERE session_id = '1')")
+#: Ids of every session, as a review shows them.
+_IDS = """di AS (SELECT session_id, category, line_no * 10000 + sent_no AS ord, text, (CASE category WHEN 'resolved' THEN 'resolved' ELSE rtrim(category, 's') END) || '-' ||
+  ROW_NUMBER() OVER (PARTITION BY session_id, category ORDER BY line_no, sent_no) AS id FROM ca)"""
+
+
+@query("display_ids", f"{_TO_CANDIDATES}, {_IDS} SELECT session_id, category, CAST(ord AS BIGINT) AS ord, id FROM di")
 def display_ids_(spark, sf_dir):
-    rows = E.candidates(transcripts(spark, sf_dir).filter("session_id = '1'")).select("category", "ord").distinct()
-    return display_ids(rows).select("category", "ord", "id")
+    return display_ids(E.candidates(transcripts(spark, sf_dir)), ("session_id",)).select("session_id", "category", "ord", "id")
+
+
+_ACCEPTED = ["todo-2", " BUG-1", "decision-1", "todo-2", "error-3"]
+
 
+@query("accept_ids", f"{_TO_CANDIDATES}, {_IDS} SELECT session_id, id, text, CAST(list_position(['todo-2', 'bug-1', 'decision-1', 'error-3'], id) AS BIGINT) AS ord "
+       "FROM di WHERE id IN ('todo-2', 'bug-1', 'decision-1', 'error-3')")
+def accept_ids(spark, sf_dir):
+    rows = display_ids(E.candidates(transcripts(spark, sf_dir)), ("session_id",))
+    return chosen(rows, _ACCEPTED).select("session_id", "id", "text", "ord")
 
-@query("extract_signals")
+
+#: The memories of each session: exact, contained and similar ones gone.
+_MEMORIES = f"""me AS MATERIALIZED (SELECT session_id || chr(1) || category AS scope, norm, MIN(ord) AS ord, arg_min(text, (-length(text), ord)) AS text FROM (
+  SELECT session_id, category, line_no * 4294967296 + sent_no AS ord, text, {T.normal_form(DUCK, Sql("text"))} AS norm FROM ca) GROUP BY ALL),
+{_contained_sql("mc", "me")}, {_greedy_sql("mg", "mc")},
+mm AS MATERIALIZED (SELECT split_part(scope, chr(1), 1) AS session_id, split_part(scope, chr(1), 2) AS category, CAST(ord AS BIGINT) AS ord, text FROM mg)"""
+_TO_MEMORIES = _TO_CANDIDATES.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _MEMORIES
+
+
+@query("extract_signals", f"{_TO_MEMORIES} SELECT session_id, category, ord, text FROM mm")
 def extract_signals(spark, sf_dir):
     return E.memories(transcripts(spark, sf_dir))
 
 
-@query("session_summary")
+def _counted(c: str) -> str:
+    n, word = f"COUNT(*) FILTER (WHERE category = '{c}')", R.COUNT_WORDS[c]
+    return f"CASE WHEN {n} > 0 THEN [{n} || ' {word}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END] ELSE [] END"
+
+
+_COUNT_ORDER = ["decisions", "bugs", "todos", "errors", "resolved"]
+
+
+@query("session_summary", f"{_TO_MEMORIES}, sn AS (SELECT session_id, {' || '.join(_counted(c) for c in _COUNT_ORDER)} AS p FROM mm GROUP BY session_id) "
+       "SELECT session_id, 'This session captured ' || CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[1:len(p) - 1], ', ') || ' and ' || p[len(p)] END || '.' AS counts FROM sn")
 def session_summary(spark, sf_dir):
-    return summaries(cut(E.memories(transcripts(spark, sf_dir))))
+    """The sentence of counts; topic_focus has what follows it."""
+    told = summaries(cut(E.memories(transcripts(spark, sf_dir))))
+    return told.select("session_id", F.regexp_replace("summary", r"(?<=\.) Focus areas: .*\z", "").alias("counts"))
+
+
+@query("topic_focus")
+def topic_focus(spark, sf_dir):
+    told = summaries(cut(E.memories(transcripts(spark, sf_dir))))
+    return told.select("session_id", F.regexp_extract("summary", r" Focus areas: (.*)\.\z", 1).alias("topics"))
 
 
-@query("rebuild_merge")
+@query("rebuild_merge", f"{_TO_MEMORIES}, " + f"""rx AS MATERIALIZED (SELECT category AS scope, norm, MIN(key) AS ord, arg_min(text, (-length(text), key)) AS text FROM (
+  SELECT category, session_id || chr(1) || lpad(CAST(ord AS VARCHAR), 19, '0') AS key, text, {T.normal_form(DUCK, Sql("text"))} AS norm FROM mm) GROUP BY ALL),
+{_contained_sql("rc", "rx")}, {_greedy_sql("rg", "rc", "y")}
+SELECT scope AS category, CAST(split_part(ord, chr(1), 2) AS BIGINT) AS ord, text, split_part(ord, chr(1), 1) AS session FROM rg""")
 def rebuild_merge(spark, sf_dir):
     return E.rebuild(transcripts(spark, sf_dir))
 
@@ -380,10 +493,25 @@ def resolve_pairs(spark, sf_dir):
     return Rs.resolutions(rows.filter("category IN ('bugs', 'todos')"), rows.filter("category = 'resolved'"))
 
 
-@query("resolve_anti", f"{_TO_CANDIDATES}, {_RESOLVE} SELECT category, text, ord FROM dt WHERE category IN ('bugs', 'todos') AND ord NOT IN (SELECT open_key FROM rs)")
+#: Resolved items of the image worker only, so that other items stay open.
+_FEW = "category = 'resolved' AND text LIKE '%image worker%'"
+
+
+@query("resolve_anti", f"{_TO_CANDIDATES}, {_RESOLVE} SELECT category, text, ord FROM dt WHERE category IN ('bugs', 'todos') AND ord NOT IN "
+       f"(SELECT open_key FROM rs WHERE resolved_key IN (SELECT ord FROM dt WHERE {_FEW}))")
 def resolve_anti(spark, sf_dir):
     rows = _distinct_texts(spark, sf_dir)
-    return Rs.still_open(rows.filter("category IN ('bugs', 'todos')"), rows.filter("category = 'resolved'")).select("category", "text", "ord")
+    return Rs.still_open(rows.filter("category IN ('bugs', 'todos')"), rows.filter(_FEW)).select("category", "text", "ord")
+
+
+@query("status_report", f"""{_TO_CANDIDATES}, {_RESOLVE} SELECT category, CAST(COALESCE(n, 0) AS BIGINT) AS n, CAST(COALESCE(o, 0) AS BIGINT) AS open
+FROM (SELECT UNNEST([{', '.join(f"'{c}'" for c in R.TITLES)}]) AS category) LEFT JOIN (
+  SELECT category, COUNT(*) AS n, COUNT(*) FILTER (WHERE category IN ('bugs', 'todos') AND ord NOT IN (
+    SELECT open_key FROM rs WHERE resolved_key IN (SELECT ord FROM dt WHERE {_FEW}))) AS o FROM dt GROUP BY category) USING (category)""")
+def status_report(spark, sf_dir):
+    rows = _distinct_texts(spark, sf_dir)
+    settled = Rs.resolutions(rows.filter("category IN ('bugs', 'todos')"), rows.filter(_FEW)).select("open_key")
+    return status(rows, settled)
 
 
 @query("first_resolver", f"{_TO_CANDIDATES}, {_RESOLVE} SELECT open_key, MIN(resolved_key) AS resolved_key FROM rs GROUP BY open_key")
@@ -392,45 +520,56 @@ def first_resolver(spark, sf_dir):
     return Rs.first_resolver(rows.filter("category IN ('bugs', 'todos')"), rows.filter("category = 'resolved'"))
 
 
+#: A line put under each message, so that aliases and direct matches have work to do.
+_NOTES = ["The docs are old", "README.md needs work", "Check the code fence", ""]
+
+
 def _chat_files(spark, sf_dir) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
-    return rows.select(F.col("conv_id").cast("string").alias("file"), (F.col("turn") * 10_000 + F.col("i")).alias("line_no"), "text")
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("conv_id") % 4 + 1).cast("int"))
+    text = F.concat("text", F.lit("\n"), note)
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n", -1)).alias("i", "text"))
+    return rows.select(F.col("conv_id").cast("string").alias("file"), F.concat_ws("/", F.lpad(F.col("turn").cast("string"), 19, "0"), F.lpad(F.col("i").cast("string"), 19, "0")).alias("line_no"), "text")
 
 
 def _find(name: str, term: str):
-    tests = " OR ".join(f"contains(lower(text), '{t}')" for t in Q.expand(term)[1])
-
-    @query(name, f"""WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS file, turn * 10000 + u.i AS line_no, {DUCK.trim(Sql("u.line"))} AS text FROM conversations c, LATERAL (
-  SELECT UNNEST(ls) AS line, UNNEST(range(len(ls))) AS i FROM (SELECT string_split(c.text, chr(10)) AS ls)) u),
-m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_no) AS k FROM f WHERE text <> '' AND NOT starts_with(text, '#') AND ({tests}))
-SELECT file, CAST(line_no AS BIGINT) AS line_no, text FROM m WHERE k <= {R.MATCHES_PER_FILE}""")
+    direct, every = Q.expand(term)
+    has = lambda terms: "(" + " OR ".join(f"contains(lower(text), '{t}')" for t in terms) + ")"
+    prefers = f"AND ({has(direct)} OR NOT EXISTS (SELECT 1 FROM h WHERE {has(direct)}))" if term.lower() in R.DIRECT_FIRST else ""
+
+    @query(name, f"""WITH f AS (SELECT CAST(conv_id AS VARCHAR) AS file, lpad(CAST(turn AS VARCHAR), 19, '0') || '/' || lpad(CAST(u.i AS VARCHAR), 19, '0') AS line_no, {DUCK.trim(Sql("u.line"))} AS text FROM conversations c, LATERAL (
+  SELECT UNNEST(ls) AS line, UNNEST(range(len(ls))) AS i FROM (SELECT string_split(c.text || chr(10) || [{", ".join(f"'{n}'" for n in _NOTES)}][c.conv_id % 4 + 1], chr(10)) AS ls)) u),
+h AS (SELECT * FROM f WHERE text <> '' AND NOT starts_with(text, '#') AND {has(every)}),
+m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_no) AS k FROM h WHERE TRUE {prefers})
+SELECT file, line_no, text FROM m WHERE k <= {R.MATCHES_PER_FILE}""")
     def run(spark, sf_dir):
         return Q.search(_chat_files(spark, sf_dir), term)
 
 
 _find("find_keyword", "The")
 _find("find_alias", "docs")
+_find("find_direct_preferred", "README.md")
 
 
 @query("inject_context")
 def inject_context(spark, sf_dir):
-    rows = E.candidates(transcripts(spark, sf_dir)).select(F.concat("category", F.lit(".md")).alias("file"), F.concat_ws("/", "session_id", "ord").alias("k"), "text")
-    number = F.row_number().over(Window.partitionBy("file").orderBy("k"))  # as many rows as the store has per category
-    lines = cut(rows.select("file", number.alias("line_no"), F.concat(F.lit("- "), "text").alias("text")))
+    rows = E.candidates(transcripts(spark, sf_dir)).select(F.concat("category", F.lit(".md")).alias("file"), F.concat_ws("/", "session_id", F.col("ord").cast("string")).alias("k"), "text")
+    lines = cut(numbered(rows, "file", ["k"], "line_no").select("file", "line_no", F.concat(F.lit("- "), "text").alias("text")))
     return spark.createDataFrame([(Q.context(lines, "parser"),)], "context string")
 
 
-_NEWEST = """SELECT session_id, mtime FROM (
-  SELECT CAST(user_id AS VARCHAR) AS session_id, MAX(ts) AS mtime FROM events GROUP BY user_id) ORDER BY mtime DESC, session_id DESC"""
+def _as_sessions(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.max("ts").alias("mtime"))
 
 
-@query("newest_sessions", f"{_NEWEST} LIMIT 10")
+@query("newest_sessions", """SELECT session_id, mtime FROM (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, MAX(ts) AS mtime FROM events GROUP BY user_id) ORDER BY mtime DESC, session_id DESC LIMIT 10""")
 def newest_sessions(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.max("ts").alias("mtime"))
-    return rows.orderBy(F.col("mtime").desc(), F.col("session_id").desc()).limit(10)
+    return newest(_as_sessions(spark, sf_dir), 10)
 
 
-@query("pending_sessions", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)")
+#: Every third user was reviewed: markers carry a path, as a review leaves them.
+@query("pending_sessions", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id FROM events WHERE user_id % 3 <> 0")
 def pending_sessions(spark, sf_dir):
-    markers = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id")).distinct()
-    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id")).distinct().join(markers, "session_id", "left_anti")
+    sessions = _as_sessions(spark, sf_dir)
+    markers = sessions.filter("CAST(session_id AS BIGINT) % 3 = 0").select(F.concat(F.lit("sessions/"), "session_id", F.lit(".md")).alias("session"))
+    return pending(sessions, markers).select("session_id")

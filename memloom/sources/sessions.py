@@ -126,6 +126,13 @@ def display_ids(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return items.withColumn("id", F.concat(one, F.lit("-"), n.cast("string")))
 
 
+def chosen(items: DataFrame, ids: list[str]) -> DataFrame:
+    """Items (with `id`) of the given ids, whatever their case; `ord` is the place of the id in the list."""
+    wanted = list(dict.fromkeys(i.strip().lower() for i in ids if i.strip()))
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.lower("id")).cast("long")
+    return items.filter(F.lower("id").isin(*wanted)).withColumn("ord", place)
+
+
 def id_of_text(items: DataFrame) -> DataFrame:
     """(text, id): of items of equal text the last one's id, in listing order."""
     rank = F.array_position(F.array(*map(F.lit, R.TITLES)), F.col("category"))
