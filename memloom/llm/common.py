@@ -6,10 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the word contract, as a Java character class and as Python characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -30,7 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor loses none of them."""
+    """Tables in the shared folder that cut lineage: a lost executor loses none of them.
+
+    They go when `clear` is called or, at the latest, when the application ends. The session
+    is told to delete shuffle files with the query that made them.
+    """
+
+    _open: list[Scratch] | None = None
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -38,6 +48,30 @@ class Scratch:
         self.made = 0
         # shuffle files of a written table go with its query, not when the driver collects garbage
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        self._folder()[0].deleteOnExit(self._folder()[1])
+        if Scratch._open is not None:
+            Scratch._open.append(self)
+
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def clear(self) -> None:
+        """Delete all tables; nothing may read them any more."""
+        fs, path = self._folder()
+        fs.delete(path, True)
+
+    @staticmethod
+    @contextmanager
+    def passing() -> Iterator[None]:
+        """What is made within is cleared at its end."""
+        before, Scratch._open = Scratch._open, []
+        try:
+            yield
+        finally:
+            made, Scratch._open = Scratch._open, before
+            for scratch in made:
+                scratch.clear()
 
     def keep(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.made += 1
@@ -61,37 +95,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the bitmap of keys to drop: 2 ** 16 rows of a long, whatever the number of keys.
-DROP_BITS = 22
+#: A filter has this many bits for each key, and between these powers of two in all.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 22, 27
+
+
+class KeyFilter:
+    """A bitmap over hashes of keys, broadcast to a scan; a bit that two keys share only makes a row suspect in vain.
+
+    Its size follows the number of keys, up to 2 ** MOST_BITS bits in 2 ** (MOST_BITS - 6)
+    rows of two longs. Beyond that it is None: callers then join, and shuffle, all rows.
+    """
+
+    def __init__(self, bitmap: DataFrame, bits: int):
+        self.bitmap, self.bits = bitmap, bits
+
+    @staticmethod
+    def of(hashes: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS) -> KeyFilter | None:
+        """From a table of one column of hashes (longs)."""
+        hashes = hashes.toDF("h")
+        n = hashes.count()
+        bits = max(LEAST_BITS, (BITS_A_KEY * n - 1).bit_length() if n else 0)
+        if bits > most_bits:
+            return None
+        bit = F.pmod("h", F.lit(1 << bits))
+        cells = hashes.select(F.shiftright(bit, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
+        return KeyFilter(scratch.keep(cells.groupBy("cell").agg(F.bit_or("b").alias("bits"))), bits)
 
+    def suspects(self, rows: DataFrame, h: Column, name: str) -> DataFrame:
+        """`rows` with a boolean column: whether the bit of the hash `h` is set."""
+        bit = F.pmod(h, F.lit(1 << self.bits))
+        bitmap = F.broadcast(self.bitmap.withColumnsRenamed({"cell": "_cell", "bits": "_bits"}))
+        out = rows.withColumn("_bit", bit).withColumn("_cell", F.shiftright("_bit", 6)).join(bitmap, "_cell", "left")
+        is_set = F.coalesce(F.getbit(F.col("_bits"), (F.col("_bit") % 64).cast("int")) == 1, F.lit(False))
+        return out.withColumn(name, is_set).drop("_cell", "_bit", "_bits")
 
-def marked(docs: DataFrame, keys: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(_row, _suspect): rows whose key's hash has its bit in a bitmap of `keys` (one column), of fixed size and broadcast."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << DROP_BITS))
-    b = bit(F.col(keys.columns[0]))
-    bitmap = keys.select(F.shiftright(b, 6).alias("_cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("_b"))
-    bitmap = scratch.keep(bitmap.groupBy("_cell").agg(F.bit_or("_b").alias("_bits")))
-    b = bit(F.col(f"_row.{key}"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_cell", F.shiftright(b, 6))
-    rows = rows.join(F.broadcast(bitmap), "_cell", "left")
-    suspect = F.coalesce(F.getbit(F.col("_bits"), (b % 64).cast("int")) == 1, F.lit(False))
-    return rows.select("_row", suspect.alias("_suspect"))
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """(_row, ...): each row as one struct, so that no column of it clashes with those beside it."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(n) for n, c in more.items()))
 
-def drop_keys(docs: DataFrame, dropped: DataFrame, key: str, scratch: Scratch, also: Column | None = None) -> DataFrame:
-    """The rows of `docs` whose key (nulls are equal) is not among `dropped` (one column).
 
-    Most rows stay where they are: only rows that the bitmap of the dropped keys marks are
-    joined, and so shuffled, with their texts. With `also`, a column of `docs`, the second
-    column of `dropped` has to equal it too.
+def drop_rows(rows: DataFrame, dropped: DataFrame, keys: list[str], scratch: Scratch, most_bits: int = MOST_BITS) -> DataFrame:
+    """Of `rows` (_row and `keys`) those whose keys are not in `dropped` (the same keys, all nulls equal), unpacked.
+
+    Most rows stay where they are: only rows that a filter of the dropped first keys marks
+    are joined, and so shuffled, with their texts, and only for them the other keys are made.
     """
-    rows = marked(docs.withColumn("_also", F.lit(None) if also is None else also), dropped.select(dropped.columns[0]), key, scratch)
-    calm = rows.filter("NOT _suspect").select("_row.*")
-    rest = rows.filter("_suspect").select("_row")
-    gone = dropped.toDF(*["_gone", "_gone_also"][: len(dropped.columns)])
-    same = F.col(f"_row.{key}").eqNullSafe(F.col("_gone"))
-    same = same if also is None else same & (F.col("_row._also") == F.col("_gone_also"))
-    return calm.unionAll(rest.join(gone, same, "left_anti").select("_row.*")).drop("_also")
+    dropped = dropped.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+        same = one if same is None else same & one
+    found = KeyFilter.of(dropped.select(F.xxhash64(dropped.columns[0])).distinct(), scratch, most_bits)
+    if found is None:
+        return rows.join(dropped, same, "left_anti").select("_row.*")
+    marked = found.suspects(rows, F.xxhash64(keys[0]), "_suspect")
+    left = marked.filter("_suspect").join(dropped, same, "left_anti")
+    return marked.filter("NOT _suspect").select("_row.*").unionAll(left.select("_row.*"))
 
 
 _SHIPPED: set[str] = set()
@@ -116,6 +176,31 @@ def python_workers(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def map_rows(docs: DataFrame, key: str, columns: dict[str, Column], fields: str, prepare: Callable) -> DataFrame:
+    """(key, *fields) of every row, made in Python of `columns`.
+
+    `prepare()` runs once a task and gives a function of lists of the columns' values (by
+    name) that yields rows as tuples, or lists of tuples, in order. The key goes by in
+    Arrow as it is, of any type: pandas would make a float of a long beside a null.
+    """
+    python_workers(docs.sparkSession)
+    kinds, names = to_arrow_schema(StructType.fromDDL(fields)), list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = prepare()
+        for batch in batches:
+            at = 0
+            for rows in made({n: batch.column(k + 1).to_pylist() for k, n in enumerate(names)}):
+                values = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+                arrays = [pa.array(list(v), type=f.type) for v, f in zip(values, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *arrays], ["_k", *kinds.names])
+                at += len(rows)
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_k"), *(c.alias(n) for n, c in columns.items()))
+    return rows.mapInArrow(run, f"_k {kind}, {fields}").withColumnRenamed("_k", key)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model learns from."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
@@ -138,6 +223,10 @@ def bounded_chunks(texts: Iterable[str], most: int = 4_000_000) -> Iterator[tupl
         yield start, held
 
 
+#: A sample has at most this many labels, the commonest.
+MOST_LABELS = 1000
+
+
 def keyed_sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """About `per_label` rows of each label, by least hash of `key`: the same rows on every run.
 
@@ -145,7 +234,8 @@ def keyed_sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataF
     """
     h = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000))
     rows = rows.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(1000).collect()}
+    common = rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(MOST_LABELS)
+    counts = {r[0]: r[1] for r in common.collect()}
     keep = F.lit(False)
     for value, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
         keep = keep | ((F.col(label) == F.lit(value)) & (h < int(1e6 * min(1.0, per_label / n))))

@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import held_out, keyed_sample, python_workers, table
+from memloom.llm.common import held_out, keyed_sample, map_rows, table
 from memloom.llm.grams import fit_logistic, gram_counts, normed, sigmoid
 
 #: The fit reads at most this many labelled documents of each label and pool documents, none longer than FIT_CHARS.
@@ -123,26 +121,24 @@ def score_quality(docs: DataFrame, model: QualityModel | float, key: str = "doc_
     Null and empty texts are scored by what both views make of no n-grams. Null metadata
     are values of their own. Repeated rows score alike. Empty table: empty result.
     """
-    spark = docs.sparkSession
-    python_workers(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2 ** GRAM_BITS + 2 ** META_BITS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** GRAM_BITS + 2 ** META_BITS weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         fitted = shared.value
-        for rows in batches:
-            for at in range(0, len(rows), 250):
-                part = rows.iloc[at : at + 250]
+
+        def scored(rows):
+            for at in range(0, len(rows["t"]), 250):
+                part = {n: v[at : at + 250] for n, v in rows.items()}
                 if isinstance(fitted, float):
-                    score = views = np.full((len(part), 2), fitted)
-                    score = score[:, 0]
-                else:
-                    xs = [text_view(part["t"].fillna("").tolist()), meta_view(part["source"].tolist(), part["lang"].tolist(), part["n"].tolist())]
-                    score, views = fitted.scores(xs), fitted.view_scores(xs)
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "score": score, "text_score": views[:, 0], "meta_score": views[:, 1]})
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col("text").alias("t"), "source", "lang", F.col("n_chars").alias("n"))
-    return rows.mapInPandas(run, f"k {kind}, score double, text_score double, meta_score double").withColumnRenamed("k", key)
+                    yield [(fitted,) * 3] * len(part["t"])
+                    continue
+                xs = [text_view([t or "" for t in part["t"]]), meta_view(part["source"], part["lang"], part["n"])]
+                yield np.column_stack([fitted.scores(xs), fitted.view_scores(xs)]).tolist()
+
+        return scored
+
+    columns = {"t": F.col("text"), "source": F.col("source"), "lang": F.col("lang"), "n": F.col("n_chars")}
+    return map_rows(docs, key, columns, "score double, text_score double, meta_score double", prepare)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Texts are equal when they are identical after each run of white space is one spa
 Rows are grouped by the length of that text; lengths that occur once need nothing
 more. The rest are grouped by a hash of the first PREFIX characters, and only rows
 whose (length, prefix hash) occurs more than once have their whole text hashed. The
-surviving keys reach the second scan as a bitmap of fixed size, so whole texts are
-never shuffled. A bitmap bit shared by two keys only makes a row hash its text in vain.
+surviving keys reach the second scan as a bitmap, so whole texts are never shuffled; with
+more keys than a bitmap holds, every row hashes its text.
 """
 
 from __future__ import annotations
@@ -13,22 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import SPACE, Scratch, drop_keys, table
+from memloom.llm.common import SPACE, KeyFilter, Scratch, drop_rows, packed, table
 
 #: Characters of the prefix hash.
 PREFIX = 512
-#: Bits of the bitmap of surviving keys: 2 ** 22 bits in 2 ** 16 rows of a long each.
-BITMAP_BITS = 22
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")
 
 
-def _bit(n: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(n, prefix), F.lit(1 << BITMAP_BITS))
-
-
 def exact_dedup(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", digest_all: bool = False
 ) -> DataFrame:
@@ -47,23 +41,18 @@ def exact_dedup(
     # a length with one row is settled; so is, among the others, a prefix with one row
     lengths = by_length.groupBy("n").agg(F.sum("rows").alias("of_length")).filter("of_length > 1").select("n")
     survivors = by_length.filter("rows > 1").join(lengths, "n", "left_semi").select("n", "prefix")
-    bit = _bit(F.col("n"), F.col("prefix"))
-    bitmap = survivors.select(F.shiftright(bit, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
-    bitmap = scratch.keep(bitmap.groupBy("cell").agg(F.bit_or("b").alias("bits")))
-
-    # second scan: the bitmap has at most 2 ** 16 rows of two longs, so it may be broadcast
-    base = base.withColumn("_bit", bit).withColumn("cell", F.shiftright("_bit", 6))
-    scan = base.join(F.broadcast(bitmap), "cell", "left")
-    survives = F.coalesce(F.getbit(F.col("bits"), (F.col("_bit") % 64).cast("int")) == 1, F.lit(False))
+    found = KeyFilter.of(survivors.select(F.xxhash64("n", "prefix")), scratch)
+    scan = base.withColumn("survives", F.lit(True)) if found is None else found.suspects(base, F.xxhash64("n", "prefix"), "survives")
     digest = F.sha2(F.col("_norm").cast("binary"), 256)
     narrow = scan.select(
-        "_key", "n", "prefix", survives.alias("survives"), (digest if digest_all else F.when(survives, digest)).alias("sha")
+        "_key", "n", "prefix", "survives", (digest if digest_all else F.when(F.col("survives"), digest)).alias("sha")
     )
     # rows that repeat key and text become one row with a count: no group of copies meets in a task
     narrow = scratch.keep(narrow.groupBy("_key", "n", "prefix", "survives", "sha").agg(F.count(F.lit(1)).alias("times")))
     least = F.min(F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("id")))
     groups = narrow.filter("survives").groupBy("n", "prefix", "sha").agg(least["id"].alias("keep_id"), F.sum("times").alias("group_size"))
-    groups = groups.filter("group_size > 1")
+    # written, so that the join has plain exchanges on both sides and a hot group can be split
+    groups = scratch.keep(groups.filter("group_size > 1"))
     out = narrow.join(groups, ["n", "prefix", "sha"], "left")
     out = out.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     keep_id = F.when(F.col("group_size").isNull(), F.col("_key")).otherwise(F.col("keep_id"))
@@ -74,19 +63,26 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns.
+
+    Of equal texts the row with the smallest key; a null key is larger than any other. Null
+    text counts as empty. Of rows that repeat key and text one stays; rows that share a key
+    but not their text are judged one by one. Empty table: empty result.
+    """
     found = exact_dedup(docs, scratch, key, text)
     found = scratch.keep(found.select(F.col(key).alias("_key"), "kept", "row", "text_sha256"))
-    # by key and text: rows that share a key, or have none, go one by one
-    dropped = scratch.keep(found.filter(~F.col("kept") & (F.col("row") == 0)).select("_key", "text_sha256").distinct())
-    left = drop_keys(docs, dropped, key, scratch, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    rows = packed(docs, _key=F.col(key), _sha=F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    dropped = found.filter(~F.col("kept") & (F.col("row") == 0)).select("_key", F.col("text_sha256").alias("_sha")).distinct()
+    # rows that were not hashed are alone: they are never among the dropped
+    left = drop_rows(rows, scratch.keep(dropped), ["_key", "_sha"], scratch)
     if found.filter("row > 0").isEmpty():
         return left
-    repeats = found.filter("row > 0").select("_key").distinct()
-    again = F.col(key).eqNullSafe(F.col("_key"))
-    singles = left.join(repeats, again, "left_anti")
-    marked = left.join(repeats, again, "left_semi").withColumn("_norm", F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    return singles.unionByName(marked.dropDuplicates([key, "_norm"]).drop("_norm"))
+    repeats = found.filter("row > 0").select(F.col("_key").alias("_again")).distinct()
+    rows = packed(left, _key=F.col(key), _sha=F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    again = F.col("_key").eqNullSafe(F.col("_again"))
+    singles, many = rows.join(repeats, again, "left_anti"), rows.join(repeats, again, "left_semi")
+    one = many.groupBy("_key", "_sha").agg(F.first("_row").alias("_row"))
+    return singles.select("_row.*").unionAll(one.select("_row.*"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

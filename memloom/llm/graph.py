@@ -1,48 +1,13 @@
-"""Connected components of a graph too large for one machine."""
+"""Connected components in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from memloom.llm.common import Scratch
-
-
-def _sign(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
-
-
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Of (u, v) rows: (u, least of u and its v). One row a node, combined before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+from memloom.operators import graph
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b: longs) but the roots; root is the least node.
-
-    Alternating large-star and small-star steps: each moves neighbours to the least node
-    in reach with two joins, until nothing changes; the number of rounds grows with the
-    logarithm of the graph. No list of a node's neighbours is ever built. Each round is
-    written to the shared folder.
-    """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = scratch.keep(edges)
-    before = _sign(edges)
-    while before[0]:
-        # large star: neighbours above u go to the least node in reach of u
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        moved = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        # small star: what lies below u goes to the least of it, and so does u
-        below = moved.distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = _least_neighbour(below)
-        moved = below.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(
-            least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
-        after_edges = scratch.keep(moved.filter("a <> b").distinct())
-        after = _sign(after_edges)
-        scratch.drop(edges)
-        edges = after_edges
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    """(node, root) for each node of `edges` (a, b: longs) but the roots; the table of a round goes with the next."""
+    return graph.connected_components(edges, scratch.keep, scratch.drop)

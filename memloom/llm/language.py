@@ -8,14 +8,11 @@ row is flagged as ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import held_out, keyed_sample, python_workers, table
+from memloom.llm.common import bounded_chunks, held_out, keyed_sample, map_rows, table
 from memloom.llm.grams import fit_logistic, gram_counts, normed
 
 #: The fit reads at most this many documents of each language, none longer than FIT_CHARS.
@@ -30,8 +27,10 @@ UNKNOWN = "und"
 
 def codewords(n: int) -> np.ndarray:
     """0/1 code (languages x bits): all splits of up to EXHAUSTIVE languages, else drawn ones far apart."""
+    if n < 2:
+        return np.zeros((n, 0), dtype=np.int64)
     if n <= EXHAUSTIVE:
-        columns = [[(c >> k) & 1 for k in range(n)] for c in range(1, 1 << max(0, n - 1))]
+        columns = [[(c >> k) & 1 for k in range(n)] for c in range(1, 1 << (n - 1))]
         return np.array(columns).T.reshape(n, -1)
     bits, best, far = int(np.ceil(12 * np.log2(n))), None, -1
     for seed in range(50):
@@ -69,11 +68,14 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Learn from the text and lang of documents that are not held out; a lang of no text is not learned."""
+    """Learn from the text and lang of documents that are not held out; a lang of no text is not learned.
+
+    Without a labelled text the model knows no language and tells `und` of all; with one, that one.
+    """
     known = docs.filter(~held_out(F.col("doc_id")) & F.length("text").between(1, FIT_CHARS))
     sample = keyed_sample(known.select("doc_id", "lang", "text"), "doc_id", "lang", fit_docs)
     got = sample.toPandas().sort_values(["doc_id", "lang"]).reset_index(drop=True)
-    got = got[[any(c.isalpha() for c in t) for t in got["text"]]]
+    got = got[np.array([any(c.isalpha() for c in t) for t in got["text"]], dtype=bool)]
     languages = sorted(got["lang"].unique().tolist())
     if len(languages) < 2:
         return LanguageModel(languages, np.zeros((1 << GRAM_BITS, 0)), np.zeros(0), np.zeros(0))
@@ -91,20 +93,16 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
     Null, empty and letterless texts: und, 0. Repeated rows fare alike. Empty table: empty result.
     """
-    spark = docs.sparkSession
-    python_workers(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2 ** GRAM_BITS weights per code bit
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            langs, score, close = shared.value.predict(rows["t"].fillna("").tolist())
-            yield pd.DataFrame({"k": rows["k"], "lang_pred": langs, "score": score, "ambiguous": close})
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
-        run, f"k {kind}, lang_pred string, score double, ambiguous boolean"
-    )
-    return out.withColumnRenamed("k", key)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** GRAM_BITS weights per code bit
+
+    def prepare():
+        def told(rows):
+            for _, part in bounded_chunks([t or "" for t in rows["t"]]):
+                yield [(lang, float(p), bool(c)) for lang, p, c in zip(*shared.value.predict(part), strict=True)]
+
+        return told
+
+    return map_rows(docs, key, {"t": F.col(text)}, "lang_pred string, score double, ambiguous boolean", prepare)
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

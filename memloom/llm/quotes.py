@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions.dialect import SPARK
 from memloom.llm.common import Scratch, table
 
-#: Deeper levels count as this one.
-LEVELS = 8
 _MARKS = r"(?:[ \t]*>)"
 #: Lines that say who is quoted; they go with the quotes.
 ATTRIBUTION = r"^[ \t]*On [^\n]* wrote:[ \t]*$"
@@ -34,14 +33,25 @@ def own_text(text: Column) -> Column:
 
 
 def quoted_runs(text: Column) -> Column:
-    """Array of (level, run): maximal runs of lines of one quote level."""
+    """Array of (level, run): maximal runs of lines of one quote level, of any depth."""
+    level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, rf"^{_MARKS}+", 0), "[^>]", ""))
 
-    def level(k: int) -> Column:
-        marks = rf"{_MARKS}{{{k}}}(?![ \t]*>)" if k < LEVELS else rf"{_MARKS}{{{k},}}+"
-        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?m)(?:^{marks}[^\n]*(?:\n|\z))+"), F.lit(0))
-        return F.transform(found, lambda run: F.struct(F.lit(k).alias("level"), run.alias("run")))
+    def runs(of):
+        lines, levels, n = of["lines"], of["levels"], F.size(of["lines"])
+        quoted = lambda i: F.get(levels, i) > 0
+        turns = lambda i: F.get(levels, i) != F.get(levels, i - 1)
+        # a run starts where a level does and ends before the next one
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: quoted(i) & ((i == 0) | turns(i)))
+        stops = F.filter(F.sequence(F.lit(1), n), lambda i: quoted(i - 1) & ((i == n) | turns(i)))
+        ends = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+        return F.transform(ends, lambda x: F.struct(
+            F.get(levels, x["a"]).alias("level"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "\n").alias("run")
+        ))
 
-    return F.flatten(F.array(*(level(k) for k in range(1, LEVELS + 1))))
+    def bound(lines):
+        return SPARK.let(F.struct(lines.alias("lines"), F.transform(lines, level).alias("levels")), runs)
+
+    return SPARK.let(F.split(F.coalesce(text, F.lit("")), "\n"), bound)
 
 
 def _units(runs: Column) -> Column:
@@ -116,7 +126,7 @@ WITH RECURSIVE m AS (
   SELECT ROW_NUMBER() OVER () AS rid, conv_id, turn, role, COALESCE(text, '') AS text FROM conversations
 ), l AS (
   SELECT rid, conv_id, turn, u.line, u.i,
-         LEAST({LEVELS}, length(regexp_replace(regexp_extract(u.line, '^([ \t]*>)+'), '[^>]', '', 'g'))) AS level,
+         length(regexp_replace(regexp_extract(u.line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level,
          regexp_matches(u.line, '{ATTRIBUTION}') AS attribution
   FROM m, LATERAL (SELECT UNNEST(ls) AS line, UNNEST(range(len(ls))) AS i FROM (SELECT string_split(m.text, chr(10)) AS ls)) u
 ), own AS (

@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import SPACES, bounded_chunks, python_workers, table
+from memloom.llm.common import SPACES, bounded_chunks, map_rows, table
 from memloom.llm.rolling import window_hashes
 
 #: Word n-gram length -> largest share of word characters in duplicated n-grams.
@@ -81,25 +79,17 @@ def repetition_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Null and empty texts have no word and fail. Whole texts are measured, one at a time.
     Repeated rows fare alike. Empty table: empty result.
     """
-    python_workers(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for at, part in bounded_chunks(rows["t"].fillna("").tolist()):
-                out = []
-                for t in part:
-                    base, covered, dup_chars = measure(t)
-                    failed, kept, share = verdict(base[0], base[1], base[4], covered, dup_chars, len(t))
-                    out.append([*base, share, dup_chars, failed, kept])
-                names = [*_MEASURES, "dup_gram_share", "dup_line_chars", "base_failed", "kept"]
-                found = pd.DataFrame(out, columns=names)
-                found.insert(0, "k", rows["k"].iloc[at : at + len(part)].to_numpy())
-                yield found
-
-    kind = docs.schema[key].dataType.simpleString()
+
+    def prepare():
+        def measured(t):
+            base, covered, dup_chars = measure(t)
+            failed, kept, share = verdict(base[0], base[1], base[4], covered, dup_chars, len(t))
+            return (*base, share, dup_chars, failed, kept)
+
+        return lambda rows: ([measured(t) for t in part] for _, part in bounded_chunks([t or "" for t in rows["t"]]))
+
     longs = ", ".join(f"{m} long" for m in _MEASURES)
-    schema = f"k {kind}, {longs}, dup_gram_share double, dup_line_chars long, base_failed boolean, kept boolean"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", key)
+    return map_rows(docs, key, {"t": F.col(text)}, f"{longs}, dup_gram_share double, dup_line_chars long, base_failed boolean, kept boolean", prepare)
 
 
 def op6_repetition(spark, sf_dir: str) -> DataFrame:

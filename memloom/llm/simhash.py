@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from memloom.llm.common import Scratch, python_workers, table
+from memloom.llm.common import Scratch, bounded_chunks, map_rows, table
 from memloom.llm.graph import connected_components
 
 SEED = 42
@@ -60,14 +60,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp): the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            fps = np.array([fingerprint(t, width) for t in rows["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": rows["k"], "fp": fps})
+    def prepare():
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return lambda rows: ([(signed(fingerprint(t, width)),) for t in part] for _, part in bounded_chunks([t or "" for t in rows["t"]]))
 
-    python_workers(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return map_rows(docs, key, {"t": F.col(text)}, "fp long", prepare)
 
 
 # anchors ----------------------------------------------------------------------------

@@ -14,9 +14,14 @@ document is removed at once. What is left - samples that share their rank but no
 context with a smaller document - goes to round 2, which ranks each of their 50-byte
 strings by the pair of its halves and finds the smallest document of each.
 
-Samples travel as packed arrays, a row per (task, bucket). Of samples of equal rank and
-context those of the smallest document leave the task, all of its places; the others are
-removed on the spot.
+Samples travel as packed arrays, a row per (load of texts, bucket). Of samples of equal
+rank and context those of the smallest document leave the load, all of its places; the
+others are removed on the spot. Strings of round 2 do likewise.
+
+The edge of a passage that very many documents share has one rank and a context in each
+of them. Ranks with more than HOT contexts in a load are spread over the buckets by their
+context, but for the load's smallest document, which tells the bucket of the rank that
+the rank is open: a sample that is spread goes to round 2 unless its context goes.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ WIDTH = 50
 #: Bytes of text per bucket of samples and per block of documents.
 BUCKET_BYTES, BLOCK_BYTES = 16_000_000, 8_000_000
 _CHUNK = 2_000_000
+#: Contexts of a rank in a load beyond which its samples are spread.
+HOT = 64
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -184,7 +191,8 @@ _OUT = "bucket long, kind int, block long, data binary"
 
 
 def _sample_rows(buckets: int, blocks: int):
-    """Round 1, before the shuffle: kind 0 has samples of a bucket, kind 1 removed ranges of a block."""
+    """Round 1, before the shuffle: kind 0 has samples of a bucket, kind 1 removed ranges of a block,
+    kind 3 samples whose rank is open, kind 4 samples that are spread."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -212,13 +220,19 @@ def _sample_rows(buckets: int, blocks: int):
                 done = ids[who[order], 0] > least  # the same context in a smaller document of this task
                 gone = np.zeros(len(who), dtype=bool)
                 gone[order[done]] = True
-                b = (mix64(rank.copy()) % np.uint64(buckets)).astype(np.int64)
+                by_rank = _runs(rank[order])
+                contexts = np.add.reduceat(first.astype(np.int64), np.flatnonzero(by_rank))[np.cumsum(by_rank) - 1]
+                kind = np.zeros(len(who), dtype=np.int64)
+                kind[order] = np.where(contexts <= HOT, 0, np.where(ids[who[order], 0] > _grouped_min(by_rank, ids[who[order], 0]), 4, 3))
+                b = mix64(np.where(kind == 4, mix64(rank ^ (context << np.uint64(16))), rank)) % np.uint64(buckets)
+                b = (b * np.uint64(8)).astype(np.int64) + kind
                 out = []
-                some = np.flatnonzero(~gone)  # every place of the least document: another task may hold a smaller one
+                some = np.flatnonzero(~gone)  # every place of the least document: another load may hold a smaller one
                 some = some[np.lexsort((place[some], who[some], b[some]))]
                 for group in np.split(some, np.flatnonzero(np.diff(b[some])) + 1):
                     if len(group):
-                        out.append((int(b[group[0]]), 0, 0, _pack(ids, who[group], place[group], rank[group], context[group])))
+                        at_ = int(b[group[0]])
+                        out.append((at_ // 8, at_ % 8, 0, _pack(ids, who[group], place[group], rank[group], context[group])))
                 out += [(k % buckets, 1, *x) for k, x in enumerate(_range_rows(ids, who[gone], lo[gone], hi[gone], blocks))]
                 yield pd.DataFrame(out, columns=["bucket", "kind", "block", "data"])
 
@@ -241,31 +255,44 @@ def _first_round(blocks: int):
     span = WIDTH - WIDTH // 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = {k: list(rows["data"][rows["kind"] == k]) for k in (0, 3, 4)}
         out = [(1, b, d) for k, b, d in zip(rows["kind"], rows["block"], rows["data"], strict=True) if k == 1]
-        blobs = rows["data"][rows["kind"] == 0]
-        if len(blobs):
-            ids, who, place, (rank, context) = _unpack_all(blobs)
-            doc = ids[who, 0]
-            order = np.lexsort((doc, context, rank))
-            who, place, rank, context, doc = who[order], place[order], rank[order], context[order], doc[order]
-            by_rank = _runs(rank)
-            by_context = _runs(rank, context)
-            least, least_here = _grouped_min(by_rank, doc), _grouped_min(by_context, doc)
-            done = doc > least_here
-            # clipped contexts are as wide as the text allows; their ends are set right against the text
-            out += [(1, *x) for x in _range_rows(ids, who[done], np.maximum(0, place[done] - span), place[done] + WIDTH, blocks)]
+        if of[0] or of[3]:
+            ids, who, place, (rank, context) = _unpack_all(of[0] + of[3])
+            told = np.arange(len(who)) >= sum(_records(x) for x in of[0])
+            out += judge(ids, who, place, rank, context, told, False)
+        if of[4]:
+            ids, who, place, (rank, context) = _unpack_all(of[4])
+            out += judge(ids, who, place, rank, context, np.zeros(len(who), dtype=bool), True)
+        return pd.DataFrame(out, columns=["kind", "block", "data"])
+
+    def judge(ids, who, place, rank, context, told, spread):
+        order = np.lexsort((ids[who, 0], context, rank))
+        who, place, rank, context, told = who[order], place[order], rank[order], context[order], told[order]
+        doc = ids[who, 0]
+        by_rank, by_context = _runs(rank), _runs(rank, context)
+        least, least_here = _grouped_min(by_rank, doc), _grouped_min(by_context, doc)
+        done = doc > least_here
+        # clipped contexts are as wide as the text allows; their ends are set right against the text
+        out = [(1, *x) for x in _range_rows(ids, who[done], np.maximum(0, place[done] - span), place[done] + WIDTH, blocks)]
+        if spread:  # all are open; the least document of each context may go
+            need = ~done
+        else:
             open_ = (doc == least_here) & (doc > least)
             group = np.cumsum(by_rank) - 1
             is_open = np.zeros(group[-1] + 1, dtype=bool)
-            is_open[group[open_]] = True
+            is_open[group[open_ | told]] = True
             need = (by_context | open_) & is_open[group]  # one holder of each context, all places that may go
-            zero = np.zeros(int(need.sum()), dtype=np.int64)
-            out += [(2, *x) for x in _range_rows(ids, who[need], place[need], place[need] + zero, blocks)]
-        return pd.DataFrame(out, columns=["kind", "block", "data"])
+        zero = np.zeros(int(need.sum()), dtype=np.int64)
+        return out + [(2, *x) for x in _range_rows(ids, who[need], place[need], place[need] + zero, blocks)]
 
     return run
 
 
+def _records(blob: bytes) -> int:
+    return int(np.frombuffer(blob, "<i8", 3)[1])
+
+
 def _lists(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row key -> (starts, lengths) of the packed ranges of a block."""
     if not len(rows):
@@ -306,15 +333,20 @@ def _string_rows(buckets: int, blocks: int):
                 found[2].append(pair & _LOW48)
                 found[3].append(mix64(pair ^ second) & _LOW48)
         if not found[0]:
-            return pd.DataFrame([], columns=["bucket", "data"])
+            return pd.DataFrame([], columns=["bucket", "kind", "block", "data"])
         who, at, a, b = (np.concatenate(x) for x in found)
+        doc = ids[who, 0]
+        order = np.lexsort((doc, b, a))
+        gone = np.zeros(len(who), dtype=bool)  # the same string in a smaller document of this block
+        gone[order] = doc[order] > _grouped_min(_runs(a[order], b[order]), doc[order])
+        out = [(k % buckets, 1, *x) for k, x in enumerate(_range_rows(ids, who[gone], at[gone], at[gone] + WIDTH, blocks))]
         where = (a % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((at, who, where))
-        out = []
+        order = np.flatnonzero(~gone)
+        order = order[np.lexsort((at[order], who[order], where[order]))]
         for group in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
             if len(group):
-                out.append((int(where[group[0]]), _pack(ids, who[group], at[group], a[group], b[group])))
-        return pd.DataFrame(out, columns=["bucket", "data"])
+                out.append((int(where[group[0]]), 0, 0, _pack(ids, who[group], at[group], a[group], b[group])))
+        return pd.DataFrame(out, columns=["bucket", "kind", "block", "data"])
 
     return run
 
@@ -323,13 +355,17 @@ def _second_round(blocks: int):
     """A bucket of strings: those of a document that is not the smallest one with them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, who, at, (a, b) = _unpack_all(rows["data"])
-        doc = ids[who, 0]
-        order = np.lexsort((doc, b, a))
-        later = doc[order] > _grouped_min(_runs(a[order], b[order]), doc[order])
-        gone = order[later]
-        out = _range_rows(ids, who[gone], at[gone], at[gone] + WIDTH, blocks)
-        return pd.DataFrame([(1, *x) for x in out], columns=["kind", "block", "data"])
+        out = [(1, b, d) for k, b, d in zip(rows["kind"], rows["block"], rows["data"], strict=True) if k == 1]
+        blobs = rows["data"][rows["kind"] == 0]
+        if len(blobs):
+            ids, who, at, (a, b) = _unpack_all(blobs)
+            doc = ids[who, 0]
+            order = np.lexsort((doc, b, a))
+            later = doc[order] > _grouped_min(_runs(a[order], b[order]), doc[order])
+            gone = order[later]
+            gone = gone[np.lexsort((at[gone], who[gone]))]
+            out += [(1, *x) for x in _range_rows(ids, who[gone], at[gone], at[gone] + WIDTH, blocks)]
+        return pd.DataFrame(out, columns=["kind", "block", "data"])
 
     return run
 
@@ -349,14 +385,12 @@ def _finish(docs: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
     gone = _lists(ranges)
     none = (np.zeros(0, dtype=np.int64),) * 2
     out = []
-    for k, rk, t in zip(docs["k"], docs["rk"], docs["t"], strict=True):
+    for k, none_, rk, t in zip(docs["id"], docs["no_key"], docs["rk"], docs["t"], strict=True):
         text = t.encode("utf-8", errors="surrogatepass")
         left, removed, spans = kept_bytes(text, *gone.get(rk, none))
         spans = [{"start": a, "stop": b} for a, b in spans]
-        out.append((k, len(text), removed, spans, hashlib.sha256(left).hexdigest()))
-    found = pd.DataFrame(out, columns=["k", "n_bytes", "n_removed", "spans", "kept_sha256"])
-    found["k"] = found["k"].astype("Int64")
-    return found
+        out.append((k, none_, len(text), removed, spans, hashlib.sha256(left).hexdigest()))
+    return pd.DataFrame(out, columns=["id", "no_key", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,7 +405,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     python_workers(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     whole = F.coalesce(F.col(key), F.lit((1 << 63) - 1)).cast("long")
-    rows = docs.select(F.col(key).alias("k"), whole.alias("id"), body.alias("t"))
+    # the key never goes through pandas beside a null, where it would be a float
+    rows = docs.select(F.col(key).isNull().alias("no_key"), whole.alias("id"), body.alias("t"))
     rows = rows.withColumn("rk", F.xxhash64("id", "t").bitwiseAND(F.lit((1 << 63) - 1)))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets, blocks = 1 + total // BUCKET_BYTES, 1 + total // BLOCK_BYTES
@@ -382,13 +417,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     placed = rows.withColumn("block", F.pmod("rk", F.lit(blocks)))
     need = first.filter("kind = 2").select("block", "data")
     strings = placed.select("block", "id", "rk", "t").groupBy("block").cogroup(need.groupBy("block")).applyInPandas(
-        _string_rows(buckets, blocks), "bucket long, data binary"
+        _string_rows(buckets, blocks), _OUT
     )
     second = scratch.keep(strings.groupBy("bucket").applyInPandas(_second_round(blocks), listed))
     gone = first.filter("kind = 1").unionAll(second).select("block", "data")
-    schema = "k long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
-    out = placed.select("block", "k", "rk", "t").groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_finish, schema)
-    return out.withColumnRenamed("k", key)
+    schema = "id long, no_key boolean, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
+    out = placed.select("block", "id", "no_key", "rk", "t").groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_finish, schema)
+    kind = docs.schema[key].dataType.simpleString()
+    return out.select(F.when(~F.col("no_key"), F.col("id")).cast(kind).alias(key), "n_bytes", "n_removed", "spans", "kept_sha256")
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:

@@ -14,14 +14,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import bounded_chunks, held_out, keyed_sample, python_workers, table
+from memloom.llm.common import bounded_chunks, held_out, keyed_sample, map_rows, python_workers, table
 
 #: The fit reads at most this many labelled documents of each label, by least hash of the id ...
 FIT_DOCS = 2500
@@ -282,7 +281,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         flat = np.array([0.0, 0.0, np.log(share / (1 - share))])
         return ToxicityModel(none, -6.0, np.zeros((2, 2)), np.zeros(2), flat)
-    words = [_TOKEN.findall(t) for t in got["text"]]
+    known: dict[str, str] = {}  # a word of many documents is held once
+    words = [[known.setdefault(w, w) for w in _TOKEN.findall(t)] for t in got["text"]]
     marks = label_features(words, toxic)
     spans, labels_ = [], []
     for k, (ws, y) in enumerate(zip(words, toxic, strict=True)):
@@ -295,6 +295,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -
             continue  # a toxic document without a token to point at teaches nothing about tokens
         spans.append(np.array([token_features(w) for w in ws[at : at + SPAN]]))
         labels_.append(tags[at : at + SPAN])
+    if not any(t.any() for t in labels_):  # no fitted text has a token that tells: all score alike
+        share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+        return ToxicityModel(none, -6.0, np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0.0, np.log(share / (1 - share))]))
     field = fit_field(spans, labels_)
     model = ToxicityModel(*field, np.zeros(3))
     x = []
@@ -312,31 +315,28 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
     Whole texts are scored. Null and empty texts have no token and get the score of a text
     without evidence. Repeated rows score alike. Empty table: empty result.
     """
-    spark = docs.sparkSession
-    python_workers(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most 2 ** FEATURE_BITS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** FEATURE_BITS weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         fitted = shared.value
-        for rows in batches:
-            texts = rows["t"].fillna("").tolist()
-            for at, part in bounded_chunks(texts):
+
+        def score(rows):
+            for _, part in bounded_chunks([t or "" for t in rows["t"]]):
                 m = fitted.token_marginals(part)
-                yield pd.DataFrame({
-                    "k": rows["k"].iloc[at : at + len(part)].to_numpy(), "score": fitted.scores(m),
-                    "n_tokens": [len(x) for x in m],
-                    "spans": [[{"start": a, "stop": b} for a, b in fitted.spans(t, x)] for t, x in zip(part, m, strict=True)],
-                })
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
-        run, f"k {kind}, score double, n_tokens long, spans array<struct<start:long,stop:long>>"
-    )
-    return out.withColumnRenamed("k", key)
+                spans = ([{"start": a, "stop": b} for a, b in fitted.spans(t, x)] for t, x in zip(part, m, strict=True))
+                yield [(float(p), len(x), found) for p, x, found in zip(fitted.scores(m), m, spans, strict=True)]
+
+        return score
+
+    return map_rows(docs, key, {"t": F.col(text)}, "score double, n_tokens long, spans array<struct<start:long,stop:long>>", prepare)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of `docs` that score below `threshold`, with all their columns."""
+    """The rows of `docs` that score below `threshold`, with all their columns.
+
+    Null and empty texts and texts without a token score as texts without evidence. Rows
+    of equal text stay or go together; keys play no part. Empty table: empty result.
+    """
     spark = docs.sparkSession
     python_workers(spark)
     shared = spark.sparkContext.broadcast(model)

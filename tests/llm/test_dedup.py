@@ -152,13 +152,35 @@ def test_near_copies_from_0_8(spark):
             rows.append((rng.choice([None, 2, len(rows) + 1]), " ".join(base).replace("w", rng.choice("wW"))))
     rows += [(500, "one two"), (501, "ONE two"), (None, ""), (502, None), (None, "alone with no key"), (None, "alone too without a key")]
     rows = list({t: (k, t) for k, t in rows}.values())
-    left = near_dedup.keep_one(frame(spark, rows), Scratch(spark, "t"))
-    assert left.columns == ["doc_id", "text", "lang", "keep_id"]
-    got, want = [(str(r.doc_id), r.text) for r in left.collect()], brute_near(rows)
-    assert len(got) == len(want) and sorted(k for k, _ in got) == sorted(k for k, _ in want)
+    want = brute_near(rows)
+    for chunk in (near_dedup.CHUNK, 300):  # the second way deals out all but the smallest clusters
+        left = near_dedup.keep_one(frame(spark, rows), Scratch(spark, "t"), chunk=chunk)
+        assert left.columns == ["doc_id", "text", "lang", "keep_id"]
+        got = [(str(r.doc_id), r.text) for r in left.collect()]
+        assert len(got) == len(want) and sorted(k for k, _ in got) == sorted(k for k, _ in want)
     assert near_dedup.keep_one(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_near_copies_of_a_large_cluster(spark):
+    """One template, copies of copies of it, and families within the cluster that are not near."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(160):
+        if k % 40 == 0:  # shares half of the template: a candidate, but no copy
+            own = base[:70] + [rng.choice(words) for _ in range(50)]
+        text = list(own) if k % 3 else list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((1000 - k, " ".join(text)))
+    rows = list({t: (k, t) for k, t in rows}.values())
+    want = brute_near(rows)
+    for chunk in (near_dedup.CHUNK, 2000, 500):
+        left = near_dedup.keep_one(frame(spark, rows), Scratch(spark, "t"), chunk=chunk).collect()
+        assert sorted((str(r.doc_id), r.text) for r in left) == want, chunk
+
+
 def brute_repeats(docs):
     first: dict = {}
     for d, t in docs:
@@ -209,5 +231,23 @@ def test_repeats_twice_in_one_document(spark):
     assert sorted(map(str, suffixes.remove_repeats(one, Scratch(spark, "t")).collect())) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_repeats_of_a_passage_that_all_share(spark, hot, monkeypatch):
+    """One passage in nearly all documents, each with edges of its own or of a few others."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, edges = word(300), [word(40) for _ in range(6)]
+    docs = []
+    for k in range(200):
+        cut = rng.choice([0, 0, 0, 30, 120])
+        middle = passage[cut : len(passage) - rng.choice([0, 0, 25, 100])]
+        docs.append((2 * k + 1, (rng.choice(edges) if k % 3 else word(60)) + middle + (rng.choice(edges) if k % 4 else word(60)) + (middle if k % 7 == 0 else "")))
+    for parts in (1, 8):
+        rows = spark.createDataFrame([(k, t, "en", "x") for k, t in docs], SCHEMA).repartition(parts)
+        got = suffixes.remove_repeats(rows, Scratch(spark, "t")).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute_repeats(docs)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.remove_repeats(frame(spark, []), Scratch(spark, "t")).count() == 0

@@ -211,7 +211,7 @@ def test_quotations(spark, tmp_path):
                     parts.append("\n".join(rng.choice(["> ", ">", " > "]) * depth + line for line in rng.choice(old).split("\n")))
                     parts += ["On Monday Bob wrote:"] * (rng.random() < 0.2)
                 elif rng.random() < 0.2:
-                    parts.append("> > > > > > > > > > deep\n> un known")
+                    parts.append("> > > > > > > > > > deep\n> > > > > > > > > deep too\n> un known")
                 else:
                     old.append(rng.choice(said) + rng.choice(["", f" no {rng.randint(0, 99)}"]))
                     parts.append(old[-1])
