@@ -242,8 +242,10 @@ def simhash_components(
     links = fingerprint_links(distinct, scratch, distance, hot)
     roots = connected_components(links, scratch)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    # written, so that joins have plain exchanges on both sides: rows of one fingerprint or component can be split
+    rooted = scratch.keep(rooted.select("fp", "root", "least"))
+    names = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = scratch.keep(rooted.join(names, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 

@@ -187,6 +187,19 @@ def _samples(data: np.ndarray, starts: np.ndarray):
     return place, h[place], context, own, lo, hi
 
 
+def _loads(batches: Iterator[pd.DataFrame], size: int = 3 * _CHUNK) -> Iterator[pd.DataFrame]:
+    """Batches put together up to about `size` characters: the larger a load, the fewer and fuller its rows."""
+    held, chars = [], 0
+    for rows in batches:
+        held.append(rows)
+        chars += int(rows["t"].str.len().sum())
+        if chars >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, chars = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 _OUT = "bucket long, kind int, block long, data binary"
 
 
@@ -195,7 +208,7 @@ def _sample_rows(buckets: int, blocks: int):
     kind 3 samples whose rank is open, kind 4 samples that are spread."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in _loads(batches):
             ids = rows[["id", "rk"]].to_numpy(dtype=np.int64)
             for at, part in bounded_chunks(rows["t"].tolist(), 4 * _CHUNK):
                 texts = [t.encode("utf-8", errors="surrogatepass") for t in part]
