@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import Scratch, table, word_count
+from memloom.operators.graph import numbered
 
 #: Of the row hash: bits in all, and bits that each refinement adds.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -27,30 +28,30 @@ def row_hash(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, source: str = "source", most_times: int = MOST_TIMES) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, source: str = "source", most_times: int = MOST_TIMES) -> DataFrame:
     """(source, source_size, weight, target) of a table of (source, source_size).
 
     Sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ... A target is
     min(most_times * source_size, weight * level), where the level is such that the
-    targets sum to all sizes: the fixed point of resharing the excess by weight.
-    One row per source goes through these windows, never a row per document.
+    targets sum to all sizes: what sources at their cap leave is reshared by weight until
+    none is above. Places are numbered over range partitions and each round is one sum over
+    the sources, so there may be very many of them.
     """
-    ordered = Window.orderBy(F.col(source).isNull(), F.col(source).cast("binary"))
-    rows = sizes.withColumn("weight", (F.row_number().over(ordered) - 1) % 3 + 1)
-    cap = F.col("source_size") * most_times
-    everything = Window.partitionBy(F.lit(1))
-    # sources fill up in order of cap / weight; what the first k leave is shared by the rest
-    filling = Window.orderBy((cap / F.col("weight")), F.col("weight"), F.col(source).isNull(), F.col(source))
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    rows = rows.withColumn("_level", level)
-    # a source at or under its cap is open; the first open one has the highest level of all
-    is_open = F.col("_level") * F.col("weight") <= cap
-    rows = rows.withColumn("_level", F.max(F.when(is_open, F.col("_level"))).over(everything))
-    target = F.least(cap.cast("double"), F.col("weight") * F.col("_level"))
-    return rows.select(source, "source_size", "weight", F.coalesce(target, cap.cast("double")).alias("target"))
+    rows = sizes.select(F.col(source).alias("source"), "source_size", F.lit(0).alias("_all"))
+    rows = numbered(rows, "_all", [F.col("source").isNull(), F.col("source").cast("binary")], "_place").drop("_all")
+    rows = rows.select("source", "source_size", ((F.col("_place") - 1) % 3 + 1).alias("weight"), (F.col("source_size") * most_times).alias("cap"))
+    rows = scratch.keep(rows)
+    level = 0.0
+    while True:
+        # a source whose share at this level is above its cap is closed; levels only rise
+        closed = F.col("weight") * F.lit(level) > F.col("cap")
+        rest = F.sum("source_size") - F.coalesce(F.sum(F.when(closed, F.col("cap"))), F.lit(0))
+        found = rows.agg((rest / F.sum(F.when(~closed, F.col("weight")))).alias("level")).first()["level"]
+        if found is None or found <= level:  # no rows, or all are at their cap
+            break
+        level = found
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
+    return rows.select(F.col("source").alias(source), "source_size", "weight", target.alias("target"))
 
 
 def mixing_plan(
@@ -61,7 +62,7 @@ def mixing_plan(
     Of a source, rows count `turns` times, and once more if hash >> shift is below `limit`.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sizes)
+    plan = source_targets(sizes, scratch)
     ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     plan = plan.withColumn("turns", F.least(F.floor(ratio), F.lit(most_times)).cast("long"))
     # what is left for the hashed part; -1 marks a bucket that is found out to the last bit

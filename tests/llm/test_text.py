@@ -38,6 +38,27 @@ def test_mix(spark, tmp_path, bits):
     assert as_rows(got, names) == want
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 7, 60):
+        sizes = {f"s{k:03d}" if k else None: rng.choice([0, 1, 5, 40, 1000, 90_000]) for k in range(n)}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.source_targets(rows, Scratch(spark, "t")).collect()}
+        order = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
+        weight, total = {k: i % 3 + 1 for i, k in enumerate(order)}, sum(sizes.values())
+        want, open_ = {}, set(order)
+        while open_:  # the excess is reshared until none is above
+            level = (total - sum(want.values())) / sum(weight[k] for k in open_)
+            above = {k for k in open_ if weight[k] * level > 3 * sizes[k]}
+            if not above:
+                want |= {k: weight[k] * level for k in open_}
+                break
+            want |= {k: 3 * sizes[k] for k in above}
+            open_ -= above
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-6 * max(1, want[k]) for k in want)
+        assert abs(sum(got.values()) - total) <= 1e-6 * max(1, total)
+
+
 def test_mix_draws_rows(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 7 + 1), "ab"[k % 5 == 0], k) for k in range(200)], "doc_id long, text string, source string, target long")
     drawn = mixing.draw(docs, Scratch(spark, "t"))
