@@ -157,6 +157,11 @@ class Engine:
         more = S.memory_lines(self.spark, self.notes).filter(~F.col("file").isin(*known))
         return own.unionByName(more.withColumn("line_no", F.col("line_no").cast("long")))
 
+    def export(self, path: str) -> None:
+        """The store as Markdown text, a folder per memory file, its lines in order over range partitions."""
+        rows = S.memory_lines_of(self.store.items()).repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+        rows.select("file", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+
     def find(self, query: str) -> DataFrame:
         return Q.find_lines(Q.search(self.lines(), query))
 

@@ -33,19 +33,39 @@ def parse_sessions(files: DataFrame) -> DataFrame:
 
 
 def _whole_files(reader, path: str) -> DataFrame:
-    files = reader.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path)
+    files = reader.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(path)
     m = F.col("_metadata")
+    # a written session is named by its folder
+    folder = F.regexp_extract(F.url_decode(F.regexp_replace(m["file_path"], r"\+", "%2B")), r"/session_id=([^/]+)/[^/]*\z", 1)
+    name = F.when(folder != "", F.concat(folder, F.lit(".md"))).otherwise(m["file_name"])
     return files.select(
-        "value", m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_modification_time"].alias("mtime"),
+        "value", m["file_path"].alias("path"), name.alias("name"), m["file_modification_time"].alias("mtime"),
         m["file_size"].alias("size"),
     )
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """All transcripts of a folder, a row per file."""
+    """All transcripts of a folder, a row per file; also of one that `write_sessions` made."""
     return parse_sessions(_whole_files(spark.read, path))
 
 
+def session_text(agent: Column, arguments: Column, started: Column, ended: Column, exit_code: Column, signal: Column, raw: Column) -> Column:
+    """The text of a session file, of columns: the header, then the raw transcript in a fence."""
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    code = F.concat(exit_code.cast("string"), F.when(signal.isNotNull(), F.concat(F.lit(" (signal "), signal.cast("string"), F.lit(")"))).otherwise(""))
+    head = {"Agent": agent, "Arguments": arguments, "Started": stamp(started), "Ended": stamp(ended), "Exit code": code}
+    lines = [F.concat(F.lit(f"**{k}:** "), F.coalesce(v, F.lit(""))) for k, v in head.items()]
+    return F.concat(F.lit("# Coding Agent Session\n\n"), F.array_join(F.array(*lines), "\n"), F.lit("\n\n## Transcript\n\n```\n"), raw, F.lit("\n```\n"))
+
+
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """A file for each session (session_id, agent, arguments, started_at, ended_at, exit_code, signal, raw_text), in a folder of its own."""
+    c = F.col
+    text = session_text(c("agent"), c("arguments"), c("started_at"), c("ended_at"), c("exit_code"), c("signal"), c("raw_text"))
+    rows = sessions.select("session_id", F.regexp_replace(text, r"\n\z", "").alias("value"))  # the writer ends it
+    rows.write.mode("append").partitionBy("session_id").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
 def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream: each landed file once."""
     return parse_sessions(_whole_files(spark.readStream, path))
@@ -113,6 +133,23 @@ def memory_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("name").alias("file"), F.posexplode(F.split(strip_frontmatter(F.col("value")), "\n", -1)).alias("line_no", "text"))
 
 
+def memory_lines_of(items: DataFrame) -> DataFrame:
+    """(file, line_no, text): stored items as the lines of memory files, frontmatter first.
+
+    Date and source are those of the newest item. A lone summary stands bare, others are bullets.
+    """
+    heads = items.groupBy("category").agg(F.max_by(F.struct("item_date", "source"), F.struct("item_date", F.col("ord"))).alias("h"), F.count(F.lit(1)).alias("n"))
+    lines = F.array(
+        F.lit("---"), F.concat(F.lit("type: "), "category"), F.concat(F.lit("date: "), F.coalesce(F.col("h.item_date").cast("string"), F.lit(""))),
+        F.concat(F.lit("source: "), F.coalesce("h.source", F.lit(""))), F.lit("---"), F.lit(""),
+    )
+    head = heads.select("category", F.posexplode(lines).alias("at", "text")).select("category", (F.col("at") - 6).cast("long").alias("line_no"), "text")
+    bare = heads.filter("category = 'summaries' AND n = 1").select("category", F.lit(True).alias("_bare"))
+    body = items.join(bare, "category", "left")
+    body = body.select("category", F.col("ord").alias("line_no"), F.when(F.col("_bare"), F.col("text")).otherwise(F.concat(F.lit("- "), "text")).alias("text"))
+    return head.unionAll(body).select(F.concat("category", F.lit(".md")).alias("file"), "line_no", "text")
+
+
 def display_ids(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """decision-1, decision-2, ... by category and `ord`, as in listings.
 

@@ -107,6 +107,36 @@ def test_session_files(spark, tmp_path):
     assert rows["bare"].agent is None and rows["bare"].exit_code is None
 
 
+def test_written_sessions_read_alike(spark, tmp_path):
+    import datetime
+
+    at = datetime.datetime(2026, 1, 1, 0, 1)
+    rows = [("2026-01-01T00-00-00-000Z", "agent", "--fast x", at, at, 130, 2, "one\ntwo"), ("b c", "agent", "", at, at, 0, None, "three")]
+    schema = "session_id string, agent string, arguments string, started_at timestamp, ended_at timestamp, exit_code int, signal int, raw_text string"
+    S.write_sessions(spark.createDataFrame(rows, schema), str(tmp_path / "s"))
+    found = {r.session_id: r for r in S.read_sessions(spark, str(tmp_path / "s")).collect()}
+    assert found.keys() == {r[0] for r in rows}
+    one = found["2026-01-01T00-00-00-000Z"]
+    assert (one.agent, one.arguments, one.exit_code, one.signal, one.started_at) == ("agent", "--fast x", 130, 2, at)
+    assert one.raw_text == S.session_document("agent", "--fast x", "2026-01-01T00:01:00.000Z", "2026-01-01T00:01:00.000Z", 130, "one\ntwo", 2)
+    assert [r.session_id for r in S.by_name(spark.createDataFrame([("b",), ("a",)], "session_id string")).coalesce(1).collect()] == ["a", "b"]
+
+
+def test_memory_lines(spark):
+    import datetime
+
+    day = datetime.date(2026, 1, 2)
+    rows = [("todos", 1, "One.", "s", day, "x"), ("todos", 2, "Two.", "s", day, "y"), ("summaries", 1, "All of it.", "s", day, "x")]
+    items = spark.createDataFrame(rows, "category string, ord long, text string, session string, item_date date, source string")
+    lines: dict = {}
+    for r in sorted(S.memory_lines_of(items).collect()):
+        lines.setdefault(r.file, []).append(r.text)
+    assert lines["todos.md"] == ["---", "type: todos", "date: 2026-01-02", "source: y", "---", "", "- One.", "- Two."]
+    assert lines["summaries.md"][-1] == "All of it."
+    ids = S.id_of_text(S.display_ids(items).unionByName(S.display_ids(items.filter("ord = 1").withColumn("ord", F.lit(7).cast("long")))))
+    assert {r.text: r.id for r in ids.collect()} == {"One.": "todo-7", "Two.": "todo-2", "All of it.": "summary-7"}
+
+
 def test_memory_files(spark, tmp_path):
     (tmp_path / "todos.md").write_text("---\ntype: todos\ntype: again\nsource: a:b\n---\n\n- One thing.\n* Two things.\nprose\n")
     (tmp_path / "summaries.md").write_text("---\ntype: summaries\n---\nA bare paragraph.\n")
