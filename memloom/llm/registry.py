@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_repetition": repetition.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_repeats": suffixes.OP10_SQL,
 }

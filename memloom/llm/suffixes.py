@@ -444,3 +444,35 @@ def op10_repeats(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     found = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Every 50-byte string of every document, as hex digits; documents are cut first, for a slice of a long text is dear.
+OP10_SQL = f"""
+WITH d AS (
+  SELECT ROW_NUMBER() OVER () AS rid, doc_id, COALESCE(doc_id, 9223372036854775807) AS k, h, length(h) // 2 AS n
+  FROM (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents)
+), c AS (
+  SELECT rid, k, o, substring(h, 2 * o + 1, {2 * (1000 + WIDTH - 1)}) AS p
+  FROM (SELECT *, UNNEST(range(0, greatest(n - {WIDTH - 1}, 0), 1000)) AS o FROM d)
+), s AS (
+  SELECT rid, k, o + i AS pos, substring(p, 2 * i + 1, {2 * WIDTH}) AS w FROM (SELECT *, UNNEST(range(0, length(p) // 2 - {WIDTH - 1})) AS i FROM c)
+), m AS (
+  SELECT w, MIN(k) AS lo FROM s GROUP BY w HAVING MIN(k) < MAX(k)
+), g AS (
+  SELECT rid, pos, CASE WHEN pos - LAG(pos) OVER (PARTITION BY rid ORDER BY pos) <= {WIDTH} THEN 0 ELSE 1 END AS fresh
+  FROM s JOIN m USING (w) WHERE k > lo
+), r AS (
+  SELECT rid, MIN(pos) AS a, MAX(pos) + {WIDTH} AS b
+  FROM (SELECT rid, pos, SUM(fresh) OVER (PARTITION BY rid ORDER BY pos) AS run FROM g) GROUP BY rid, run
+), l AS (
+  SELECT rid, COALESCE(LAG(b) OVER (PARTITION BY rid ORDER BY a), 0) AS x, a AS y FROM r
+  UNION ALL SELECT rid, MAX(b), NULL FROM r GROUP BY rid
+), t AS (
+  SELECT rid, string_agg(substring(h, 2 * x + 1, 2 * (COALESCE(y, n) - x)), '' ORDER BY x) AS left_ FROM l JOIN d USING (rid) GROUP BY rid
+), u AS (
+  SELECT rid, SUM(b - a) AS n_removed, COUNT(*) AS n_spans FROM r GROUP BY rid
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(COALESCE(left_, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN u USING (rid)
+"""
