@@ -1,5 +1,6 @@
 """Queries of the learned operators, and the pipeline, against plain versions: one document, one token, one gram at a time."""
 
+import hashlib
 import math
 import random
 import re
@@ -7,12 +8,13 @@ import zlib
 from collections import Counter
 
 import duckdb
-from test_dedup import brute_near
+from test_dedup import brute_fingerprint, brute_near
 from test_models import corpus
+from test_text import plain_agenda
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from memloom.llm import cotraining, language, mixing, pieces, toxicity
+from memloom.llm import cotraining, language, mixing, pieces, simhash, toxicity
 
 
 def written(spark, tmp_path, docs, labels):
@@ -150,3 +152,38 @@ def test_pipeline(spark, tmp_path):
     assert len(set(got)) > len({k for k, _, _ in got if k})  # a repeated row draws apart
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_simhash_query(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(None, None), (900, ""), (901, " \n"), (2, "One"), (3, "one"), (4, "One two"), (4, "one  TWO")]
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 120))]
+        for _ in range(rng.randint(1, 4)):
+            rows.append((rng.choice([len(rows) + 5, None]) if rng.random() < 0.1 else len(rows) + 5, " ".join(text)))
+            if rng.random() < 0.7:
+                text = [*text[: rng.randint(0, len(text))], rng.choice(words), *text[rng.randint(0, len(text)) :]] if rng.random() < 0.2 else [*text, rng.choice(words)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    fps = [brute_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, x in enumerate(fps):
+        for j in range(i):
+            if (x ^ fps[j]).bit_count() <= 2 and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if y == old else y for y in label]
+    least = {n: min((k for (k, _), m in zip(rows, label, strict=True) if m == n and k is not None), default=None) for n in label}
+    want = sorted((str(k), f"{f:016x}", str(least[n])) for (k, _), f, n in zip(rows, fps, label, strict=True))
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.op4_simhash(spark, str(tmp_path)).collect())
+    assert got == want and len({c for _, _, c in want}) < len(want)
+
+
+def test_pieces_query(spark, tmp_path):
+    rows = [(1, "An international organisation\n\nof  standards"), (2, ""), (3, None), (None, "▁ naïve 日本 x"), (5, "x" * 70 + " the end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    model, want = pieces.Pieces.load().prepare(), []
+    for k, t in rows:
+        ids = None if t is None else plain_agenda(model, t, xxh64_intdigest(str(k or 0).encode(), 42), pieces.DROPOUT)
+        want.append((str(k), str(ids), len(ids or []), t and hashlib.sha256(t.encode()).hexdigest() or (None if t is None else hashlib.sha256(b"").hexdigest())))
+    got = [(str(r.doc_id), str(r.ids), r.n_ids, r.decoded_sha256) for r in pieces.op5_pieces(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
