@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
 def java(pattern: str) -> str:
     """ASCII word boundaries (Java's are not), `$` at the very end only (Java's is not), and no deep recursion.
 
@@ -27,6 +30,9 @@ def java(pattern: str) -> str:
     repeat groups there that can match in one way only, so nothing else changes.
     """
     pattern = re.sub(r"\)([*+])\$(?=$|\)|\|)", r")\1+$", pattern)
+    # an edge before or after a known word character looks one way; behind a literal, the literal is searched for first
+    pattern = re.sub(r"(?<![\\\w])(\w+)\\b", rf"\1(?!{_WORD})", pattern)
+    pattern = re.sub(r"^\\b(\w[\w -]*?)(?=[\w -][*+?{]|[^\w *+?{-]|$)", lambda m: f"{m[1]}(?<!{_WORD}{m[1]})", pattern)
     pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + _EDGE, pattern)
     return re.sub(r"(?<!\\)\$(?=$|\)|\|)", r"\\z", pattern)
 
