@@ -41,7 +41,8 @@ def exact_dedup(
     # a length with one row is settled; so is, among the others, a prefix with one row
     lengths = by_length.groupBy("n").agg(F.sum("rows").alias("of_length")).filter("of_length > 1").select("n")
     survivors = by_length.filter("rows > 1").join(lengths, "n", "left_semi").select("n", "prefix")
-    found = KeyFilter.of(survivors.select(F.xxhash64("n", "prefix")), scratch)
+    survivors = scratch.keep(survivors.select(F.xxhash64("n", "prefix").alias("h")))  # counted, then made a filter: texts are read once
+    found = KeyFilter.of(survivors, scratch)
     scan = base.withColumn("survives", F.lit(True)) if found is None else found.suspects(base, F.xxhash64("n", "prefix"), "survives")
     digest = F.sha2(F.col("_norm").cast("binary"), 256)
     narrow = scan.select(
