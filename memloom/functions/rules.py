@@ -19,34 +19,43 @@ TITLES = {
 
 # -- fixed values: vocabulary ---------------------------------------------------------
 
-COMMANDS = (
-    "npm npx node pnpm yarn git docker cd ls cat make python python3 pip cargo go tsc jest sudo curl wget bash sh"
-).split()
+COMMANDS = [
+    "npm", "npx", "node", "pnpm", "yarn", "git", "docker", "cd", "ls", "cat", "make", "python", "python3", "pip", "cargo",
+    "go", "tsc", "jest", "sudo", "curl", "wget", "bash", "sh",
+]
 
-STOP_WORDS = (
-    "the a an to of for and or in on at is it we i that this because but so as be are was were with by from our their its will"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "to", "of", "for", "and", "or", "in", "on", "at", "is", "it", "we", "i", "that", "this", "because",
+    "but", "so", "as", "be", "are", "was", "were", "with", "by", "from", "our", "their", "its", "will",
+]
 
-RESOLUTION_STOP = STOP_WORDS + (
-    "fix fixed fixing resolve resolved resolving complete completed completing close closed closing address addressed "
-    "addressing repair repaired repairing done bug bugs todo todos issue issues problem problems file files about add "
-    "adding added memory memories workflow workflows before after any all some future past current feature features "
-    "support supports supported supporting implement implements implemented implementing ensure ensures ensured ensuring "
-    "remove removes removed removing update updates updated updating make makes making need needs needed needing"
-).split()
+RESOLUTION_STOP = [
+    *STOP_WORDS,
+    "fix", "fixed", "fixing", "resolve", "resolved", "resolving", "complete", "completed", "completing", "close", "closed",
+    "closing", "address", "addressed", "addressing", "repair", "repaired", "repairing", "done", "bug", "bugs", "todo",
+    "todos", "issue", "issues", "problem", "problems", "file", "files", "about", "add", "adding", "added", "memory",
+    "memories", "workflow", "workflows", "before", "after", "any", "all", "some", "future", "past", "current", "feature",
+    "features", "support", "supports", "supported", "supporting", "implement", "implements", "implemented", "implementing",
+    "ensure", "ensures", "ensured", "ensuring", "remove", "removes", "removed", "removing", "update", "updates", "updated",
+    "updating", "make", "makes", "making", "need", "needs", "needed", "needing",
+]
 
-TOPIC_STOP = STOP_WORDS + (
-    "use using used fix fixing fixed add adding added resolve resolving resolved complete completing completed close "
-    "closing closed address addressing addressed repair repairing repaired implement implementing handle handling update "
-    "updating remove removing refactor need still also after when while unable not bug bugs error errors issue issues "
-    "problem todo fixme specified type users user thing things stuff directionally strong aligned same boundaries clear "
-    "mostly concrete quality useful good bad important relevant appears appear line lines sections section clarity truth "
-    "unfinished agent command arguments args exit started ended decided decide chose choose agreed opted project local "
-    "want plan ought based docs positioning has current remaining top risks smallest fixes material gaps identify review "
-    "assessment tip new fast select model effort openai codex directory legacy models building multi platform chat bots "
-    "configuring deploying promoting login remote control failed credentials skills commands working whnbuilding reviw "
-    "correctness diff"
-).split()
+TOPIC_STOP = [
+    *STOP_WORDS,
+    "use", "using", "used", "fix", "fixing", "fixed", "add", "adding", "added", "resolve", "resolving", "resolved",
+    "complete", "completing", "completed", "close", "closing", "closed", "address", "addressing", "addressed", "repair",
+    "repairing", "repaired", "implement", "implementing", "handle", "handling", "update", "updating", "remove", "removing",
+    "refactor", "need", "still", "also", "after", "when", "while", "unable", "not", "bug", "bugs", "error", "errors", "issue",
+    "issues", "problem", "todo", "fixme", "specified", "type", "users", "user", "thing", "things", "stuff", "directionally",
+    "strong", "aligned", "same", "boundaries", "clear", "mostly", "concrete", "quality", "useful", "good", "bad", "important",
+    "relevant", "appears", "appear", "line", "lines", "sections", "section", "clarity", "truth", "unfinished", "agent",
+    "command", "arguments", "args", "exit", "started", "ended", "decided", "decide", "chose", "choose", "agreed", "opted",
+    "project", "local", "want", "plan", "ought", "based", "docs", "positioning", "has", "current", "remaining", "top",
+    "risks", "smallest", "fixes", "material", "gaps", "identify", "review", "assessment", "tip", "new", "fast", "select",
+    "model", "effort", "openai", "codex", "directory", "legacy", "models", "building", "multi", "platform", "chat", "bots",
+    "configuring", "deploying", "promoting", "login", "remote", "control", "failed", "credentials", "skills", "commands",
+    "working", "whnbuilding", "reviw", "correctness", "diff",
+]
 
 CONJUNCTIONS = [
     " and need to ", " but need to ", " and still need to ", " but still need to ", " and we need to ", " but we need to ",

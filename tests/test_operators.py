@@ -1,12 +1,15 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from memloom.functions import rules as R
 from memloom.operators import dedupe as D
 from memloom.operators import resolve as Rs
 from memloom.operators import search as Q
 from memloom.operators import segment as G
 from memloom.operators.graph import numbered
+from memloom.operators.summarize import topics
 from memloom.plans import extract as E
 from memloom.plans.session import prepared
 from memloom.sources import sessions as S
@@ -159,3 +162,72 @@ def test_fuzzy_dedupe_of_long_conversations(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted(r.text for r in QUERIES["fuzzy_dedupe"](spark, str(tmp_path)).collect())
     assert got == ["a wholly different remark on billing", "the parser cache fails on stale tokens every single day"]
+
+
+def plain_topics(texts):
+    topics, seen = [], set()
+
+    def add(topic):
+        key = re.sub(r"[^a-z0-9]+", " ", topic.lower()).strip()
+        if key and key not in seen and len(topics) < 6:
+            seen.update([key, *key.split()])
+            topics.append(topic)
+
+    texts = [t.replace("[REDACTED_SECRET]", " ") for t in texts]
+    for t in texts:
+        for name in re.findall(r"\b[A-Za-z0-9_-]+\.md\b", t):
+            add(name)
+        phrases = {"project guardrails": "project guardrails", r"(?:unclosed\s+)?code\s+fence": "code fence", "memory extraction": "memory extraction", "markdown": "markdown", "pty": "PTY",
+                   "storage": "storage", r"(?:README|GUARDRAILS)\.md\b|\bdocs?\b|\bdocumentation\b|\bmarkdown\b|\bcode\s+fence\b|\bfenced\s+block": "documentation"}
+        for p, topic in phrases.items():
+            if re.search(rf"\b(?:{p})\b", t, re.I):
+                add(topic)
+    if len(topics) < 3:
+        for w in re.sub(r"[^A-Za-z0-9\s]", " ", " \n ".join(texts)).split():
+            low = w.lower()
+            if len(low) >= 3 and low not in R.TOPIC_STOP and not re.match(r"\d|rgb$", low) and low not in seen and len(topics) < 6:
+                seen.add(low)
+                topics.append(w[0].upper() + w[1:])
+    return topics
+
+
+def test_topics(spark):
+    rng = random.Random(7)
+    words = "README.md GUARDRAILS.md notes.md the parser Storage PTY code fence unclosed docs markdown memory extraction JWT 5xx rgb cache-layer [REDACTED_SECRET] project guardrails Redis we fix failed".split()
+    cases = [(k, [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 3))]) for k in range(150)]
+    rows = spark.createDataFrame(cases, "k int, texts array<string>").select("k", topics(F.col("texts")).alias("t")).collect()
+    got = {r.k: r.t for r in rows}
+    assert got == {k: plain_topics(texts) for k, texts in cases}
+
+
+def plain_tokens(text):
+    out, raw = set(), re.sub(r"[^a-z0-9_.\s-]", " ", text.lower().rstrip(".!?")).split()
+    for w in (re.sub(r"^[.-]+|[.-]+$", "", x) for x in raw):
+        stem = re.match(r"([a-z0-9_-]+)\.[a-z0-9]+$", w)
+        for v in [w, *([stem[1]] if stem else [])]:
+            c = next((to for at, to in (("truncat", "truncat"), ("fenc", "fence"), ("doc", "document")) if v.startswith(at)), re.sub(r"(?:ing|ed|s)$", "", v))
+            if len(c) >= 3 and v not in R.RESOLUTION_STOP and c not in R.RESOLUTION_STOP:
+                out.add(c)
+    return out
+
+
+def test_resolutions_equal_a_plain_rule(spark):
+    rng = random.Random(3)
+    words = "parser cache token queue code fence fenced docs README.md retry login export stale fix the a bug truncated index".split()
+    open_ = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(120)})
+    done = sorted({rng.choice(["Fixed ", "Resolved the ", "Closed the bug with ", "Notes on ", "It was fixed: "]) + " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(120)})
+    want = set()
+    for r in done:
+        if r.startswith("Notes"):
+            continue
+        b = plain_tokens(r)
+        for o in open_:
+            both = plain_tokens(o) & b
+            if {"code", "fence"} <= both or len(both) >= 3 or (len(both) >= 2 and len(both) == len(b)):
+                want.add((o, r))
+    frame = lambda texts: spark.createDataFrame([(t, t) for t in texts], "ord string, text string")
+    got = {(r.open_key, r.resolved_key) for r in Rs.resolutions(frame(open_), frame(done)).collect()}
+    assert got == want and want
+    first = {r.open_key: r.resolved_key for r in Rs.first_resolver(frame(open_), frame(done)).collect()}
+    assert first == {o: min(r for x, r in want if x == o) for o, _ in want}
+    assert {r.ord for r in Rs.still_open(frame(open_), frame(done)).collect()} == set(open_) - {o for o, _ in want}
