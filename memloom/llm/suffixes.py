@@ -3,25 +3,25 @@
 A string of WIDTH bytes repeats when its first half and its second half, WIDTH / 2 bytes
 on, have equal ranks: one doubling step from ranks of 25 bytes to ranks of 50. Ranking
 every byte would shuffle some 20 bytes per byte of text and round, so ranks are hashes
-of content (equal strings, equal ranks, without a global sort) and the first round ranks
-sampled suffixes only: the positions that hold the least 25-byte rank of some 50-byte
-string (minimizers). Equal 50-byte strings hold the same sampled suffix at the same
-place, so nothing is lost.
-
-Round 1 groups the samples by rank. A rank of one document is unique and drops out. A
-sample whose whole context (all 50-byte strings around it) also stands in a smaller
-document is removed at once. What is left - samples that share their rank but not their
-context with a smaller document - goes to round 2, which ranks each of their 50-byte
-strings by the pair of its halves and finds the smallest document of each.
-
-Samples travel as packed arrays, a row per (load of texts, bucket). Of samples of equal
-rank and context those of the smallest document leave the load, all of its places; the
-others are removed on the spot. Strings of round 2 do likewise.
-
-The edge of a passage that very many documents share has one rank and a context in each
-of them. Ranks with more than HOT contexts in a load are spread over the buckets by their
-context, but for the load's smallest document, which tells the bucket of the rank that
-the rank is open: a sample that is spread goes to round 2 unless its context goes.
+of content (equal strings, equal ranks, with no need of a global order) and the first
+round ranks sampled suffixes only: the positions that hold the least 25-byte rank of some
+50-byte string (minimizers). Equal 50-byte strings hold the same sampled suffix at the
+same place, so nothing is lost.
+
+Round 1: Spark sorts a row per sample by (rank, context, document). A rank of one document
+is unique and drops out. A sample whose whole context (all 50-byte strings around it)
+also stands in a smaller document is removed at once. What is left - samples that share
+their rank but not their context with a smaller document - goes to round 2: Spark sorts
+their contexts by (rank, document), the strings around them are ranked anew by all their
+50 bytes, and those of the smallest document of each stay.
+
+Both rounds read sorted rows in a stream that holds no more than the rows of one rank.
+Of samples of equal rank and context those of the smallest document leave a load of texts,
+all of its places; the others are removed on the spot, so that copies of a text leave a
+row per load. The edge of a passage that very many documents share has one rank and a
+context in each of them. Ranks with more than HOT contexts in a load are dealt out by
+context, but for the load's smallest document, whose rows tell all others of the rank that
+it is open. In round 2 each string of such a rank is a row of its own, dealt by its hash.
 """
 
 from __future__ import annotations
@@ -31,77 +31,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from memloom.llm.common import Scratch, bounded_chunks, python_workers, table
 from memloom.llm.rolling import _BASE, _BASE_INV, _powers, mix64, sliding, window_hashes
 
 WIDTH = 50
-#: Bytes of text per bucket of samples and per block of documents.
-BUCKET_BYTES, BLOCK_BYTES = 16_000_000, 8_000_000
+#: Bytes of text per block of documents.
+BLOCK_BYTES = 8_000_000
 _CHUNK = 2_000_000
 #: Contexts of a rank in a load beyond which its samples are spread.
 HOT = 64
+#: Rows that a stream of sorted rows settles at once, at least.
+_AT_ONCE = 100_000
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW48 = np.uint64((1 << 48) - 1)
-
-
-# packed arrays ----------------------------------------------------------------------
-
-
-def _pack(owners: np.ndarray, who: np.ndarray, at: np.ndarray, *ranks: np.ndarray) -> bytes:
-    """owners: (documents x 2) ids; who: index of each record's document, rising; at: position; 48-bit ranks."""
-    own, who = np.unique(who, return_inverse=True)
-    counts = np.bincount(who, minlength=len(own))
-    first = np.concatenate([[True], who[1:] != who[:-1]])
-    step = at.astype(np.int64)
-    step[1:] -= np.where(first[1:], 0, at[:-1])
-    planes = step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].T  # zeros together: they compress
-    parts = [np.array([len(own), len(who), len(ranks)], dtype="<i8"), owners[own].astype("<i8"), counts.astype("<i4"), planes]
-    parts += [r.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for r in ranks]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    n_own, n, n_ranks = np.frombuffer(blob, "<i8", 3).tolist()
-    at = 24
-    owners = np.frombuffer(blob, "<i8", 2 * n_own, at).reshape(-1, 2)
-    at += 16 * n_own
-    counts = np.frombuffer(blob, "<i4", n_own, at)
-    at += 4 * n_own
-
-    def wide(size: int, shape) -> np.ndarray:
-        nonlocal at
-        raw = np.frombuffer(blob, np.uint8, size * n, at).reshape(shape)
-        at += size * n
-        out = np.zeros((n, 8), dtype=np.uint8)
-        out[:, :size] = raw.T if shape[0] == size and shape[1] == n else raw
-        return out.view("<u8").reshape(-1)
-
-    place = wide(5, (5, n)).astype(np.int64)
-    who = np.repeat(np.arange(n_own), counts)
-    if n:
-        total = np.cumsum(place)
-        starts = np.cumsum(counts) - counts
-        place = total - (total - place)[starts][who]
-    ranks = []
-    for _ in range(n_ranks):
-        raw = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-        at += 6 * n
-        out = np.zeros((n, 8), dtype=np.uint8)
-        out[:, :6] = raw
-        ranks.append(out.view("<u8").reshape(-1))
-    return owners, who, place, ranks
-
-
-def _unpack_all(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    parts = [_unpack(b) for b in blobs]
-    base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    return (
-        np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + k for p, k in zip(parts, base, strict=False)]),
-        np.concatenate([p[2] for p in parts]), [np.concatenate(r) for r in zip(*(p[3] for p in parts), strict=True)],
-    )
+#: What a row of round 1 is, in the top byte of its place.
+SAMPLE, RANGE, OPEN, SPREAD = 0, 1, 2, 3
+_KIND, _PLACE = 56, (1 << 56) - 1
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -187,200 +137,226 @@ def _samples(data: np.ndarray, starts: np.ndarray):
     return place, h[place], context, own, lo, hi
 
 
-def _loads(batches: Iterator[pd.DataFrame], size: int = 3 * _CHUNK) -> Iterator[pd.DataFrame]:
-    """Batches put together up to about `size` characters: the larger a load, the fewer and fuller its rows."""
+def _loads(batches: Iterator[pa.RecordBatch], size: int = 3 * _CHUNK) -> Iterator[list]:
+    """Columns of batches put together up to about `size` characters; `t` is the last one."""
     held, chars = [], 0
-    for rows in batches:
-        held.append(rows)
-        chars += int(rows["t"].str.len().sum())
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        held.append([*(batch.column(k).to_numpy() for k in range(batch.num_columns - 1)), texts])
+        chars += sum(map(len, texts))
         if chars >= size:
-            yield pd.concat(held, ignore_index=True)
+            yield [np.concatenate(c) for c in list(zip(*held, strict=True))[:-1]] + [[t for h in held for t in h[-1]]]
             held, chars = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-_OUT = "bucket long, kind int, block long, data binary"
-
-
-def _sample_rows(buckets: int, blocks: int):
-    """Round 1, before the shuffle: kind 0 has samples of a bucket, kind 1 removed ranges of a block,
-    kind 3 samples whose rank is open, kind 4 samples that are spread."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _loads(batches):
-            ids = rows[["id", "rk"]].to_numpy(dtype=np.int64)
-            for at, part in bounded_chunks(rows["t"].tolist(), 4 * _CHUNK):
-                texts = [t.encode("utf-8", errors="surrogatepass") for t in part]
-                found = [[], [], [], [], [], []]
-                for data, starts, doc, off in _pieces(texts):
-                    place, rank, context, own, lo, hi = _samples(data, starts)
-                    shift = (off - starts)[own]
-                    # a context cut by a piece, not by the text, equals no other: round 2 sees to it
-                    stop = np.concatenate([starts[1:], [len(data)]])
-                    inner = np.array([o + n < len(texts[d]) for o, n, d in zip(off, stop - starts, doc, strict=True)])[own]
-                    cut = ((off[own] > 0) & (place - lo < WIDTH - WIDTH // 2)) | (inner & (hi - place < WIDTH))
-                    context[cut] = mix64((place + shift + ids[doc[own] + at, 1]).astype(np.uint64))[cut]
-                    for out, x in zip(found, (doc[own] + at, place + shift, rank, context, lo + shift, hi + shift), strict=True):
-                        out.append(x)
-                who, place, rank, context, lo, hi = (np.concatenate(x) for x in found)
-                if not len(who):
-                    continue
-                rank, context = rank & _LOW48, context & _LOW48
-                order = np.lexsort((ids[who, 0], context, rank))
-                first = _runs(rank[order], context[order])
-                least = _grouped_min(first, ids[who[order], 0])
-                done = ids[who[order], 0] > least  # the same context in a smaller document of this task
-                gone = np.zeros(len(who), dtype=bool)
-                gone[order[done]] = True
-                by_rank = _runs(rank[order])
-                contexts = np.add.reduceat(first.astype(np.int64), np.flatnonzero(by_rank))[np.cumsum(by_rank) - 1]
-                kind = np.zeros(len(who), dtype=np.int64)
-                kind[order] = np.where(contexts <= HOT, 0, np.where(ids[who[order], 0] > _grouped_min(by_rank, ids[who[order], 0]), 4, 3))
-                b = mix64(np.where(kind == 4, mix64(rank ^ (context << np.uint64(16))), rank)) % np.uint64(buckets)
-                b = (b * np.uint64(8)).astype(np.int64) + kind
-                out = []
-                some = np.flatnonzero(~gone)  # every place of the least document: another load may hold a smaller one
-                some = some[np.lexsort((place[some], who[some], b[some]))]
-                for group in np.split(some, np.flatnonzero(np.diff(b[some])) + 1):
-                    if len(group):
-                        at_ = int(b[group[0]])
-                        out.append((at_ // 8, at_ % 8, 0, _pack(ids, who[group], place[group], rank[group], context[group])))
-                out += [(k % buckets, 1, *x) for k, x in enumerate(_range_rows(ids, who[gone], lo[gone], hi[gone], blocks))]
-                yield pd.DataFrame(out, columns=["bucket", "kind", "block", "data"])
-
-    return run
-
-
-def _range_rows(ids: np.ndarray, who: np.ndarray, lo: np.ndarray, hi: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
-    """Rows of (block, packed ranges); a range's length travels as a rank."""
-    block = ids[who, 1] % blocks
-    order = np.lexsort((lo, who, block))
-    out = []
-    for group in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-        if len(group):
-            out.append((int(block[group[0]]), _pack(ids, who[group], lo[group], (hi - lo)[group])))
-    return out
+        yield [np.concatenate(c) for c in list(zip(*held, strict=True))[:-1]] + [[t for h in held for t in h[-1]]]
+
+
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+# round 1 ----------------------------------------------------------------------------
+
+_SAMPLES = ["rank", "context", "id", "rk", "spot"]
+_LISTED = ["kind", "id", "rk", "lo", "size", "hot", "rank"]
+
+
+def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples, and ranges removed on the spot, of rows (id, rk, t)."""
+    for all_ids, all_rks, all_texts in _loads(batches):
+        for at, part in bounded_chunks(all_texts, 4 * _CHUNK):
+            texts = [t.encode("utf-8", errors="surrogatepass") for t in part]
+            found = [[], [], [], [], [], []]
+            for data, starts, doc, off in _pieces(texts):
+                place, rank, context, own, lo, hi = _samples(data, starts)
+                shift = (off - starts)[own]
+                # a context cut by a piece, not by the text, equals no other: round 2 sees to it
+                stop = np.concatenate([starts[1:], [len(data)]])
+                inner = np.array([o + n < len(texts[d]) for o, n, d in zip(off, stop - starts, doc, strict=True)])[own]
+                cut = ((off[own] > 0) & (place - lo < WIDTH - WIDTH // 2)) | (inner & (hi - place < WIDTH))
+                context[cut] = mix64((place + shift + all_rks[doc[own] + at]).astype(np.uint64))[cut]
+                for out, x in zip(found, (doc[own] + at, place + shift, rank, context, lo + shift, hi + shift), strict=True):
+                    out.append(x)
+            who, place, rank, context, lo, hi = (np.concatenate(x) for x in found)
+            if not len(who):
+                continue
+            rank, context = (rank & _LOW48).astype(np.int64), (context & _LOW48).astype(np.int64)
+            order = np.lexsort((all_ids[who], context, rank))
+            who, place, rank, context, lo, hi = (x[order] for x in (who, place, rank, context, lo, hi))
+            ids = all_ids[who]
+            by_rank, by_context = _runs(rank), _runs(rank, context)
+            gone = ids > _grouped_min(by_context, ids)  # the same context in a smaller document of this load
+            contexts = np.add.reduceat(by_context.astype(np.int64), np.flatnonzero(by_rank))[np.cumsum(by_rank) - 1]
+            kind = np.where(contexts <= HOT, SAMPLE, np.where(ids > _grouped_min(by_rank, ids), SPREAD, OPEN))
+            # every place of the least document goes on: another load may hold a smaller one
+            keep = ~gone
+            rows = _batch(_SAMPLES, rank[keep], context[keep], ids[keep], all_rks[who[keep]], place[keep] | kind[keep] << _KIND)
+            yield from (rows.slice(k, _AT_ONCE) for k in range(0, rows.num_rows, _AT_ONCE))
+            if gone.any():
+                who, lo, hi = _united(who[gone], lo[gone], hi[gone])
+                yield _batch(_SAMPLES, lo, np.zeros(len(who), dtype=np.int64), all_ids[who], all_rks[who], hi | RANGE << _KIND)
+
+
+def _united(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that touch, as one."""
+    order = np.lexsort((lo, who))
+    who, lo, hi = who[order], lo[order], hi[order]
+    base = who.astype(np.int64) * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + base) - base
+    first = np.ones(len(who), dtype=bool)
+    first[1:] = (who[1:] != who[:-1]) | (lo[1:] > reach[:-1])
+    at = np.flatnonzero(first)
+    return who[at], lo[at], reach[np.concatenate([at[1:], [len(who)]]) - 1]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], by: int, pick, settle) -> Iterator[pa.RecordBatch]:
+    """`settle` over whole runs of equal values of column `by` of sorted rows, that come in batches.
+
+    `pick` takes the columns of a batch and gives (rows to pass on at once, the columns to hold).
+    """
+    held, n, most = [], 0, _AT_ONCE
+    for batch in batches:
+        at_once, columns = pick(batch)
+        if at_once is not None:
+            yield at_once
+        held.append(columns)
+        n += len(columns[by])
+        if n < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[by], columns[by][-1]))
+        if cut:
+            yield settle(*(c[:cut] for c in columns))
+        held, n = [[c[cut:] for c in columns]], len(columns[by]) - cut
+        most = max(_AT_ONCE, 2 * n)  # a long run is put together a few times, not for each batch
+    if n:
+        yield settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _first_round(blocks: int):
-    """A bucket of samples: kind 1 rows are removed ranges, kind 2 rows places that need round 2."""
+def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of samples sorted by (rank, context, id): removed ranges (kind 1) and places that need round 2 (kind 2)."""
     span = WIDTH - WIDTH // 2
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        of = {k: list(rows["data"][rows["kind"] == k]) for k in (0, 3, 4)}
-        out = [(1, b, d) for k, b, d in zip(rows["kind"], rows["block"], rows["data"], strict=True) if k == 1]
-        if of[0] or of[3]:
-            ids, who, place, (rank, context) = _unpack_all(of[0] + of[3])
-            told = np.arange(len(who)) >= sum(_records(x) for x in of[0])
-            out += judge(ids, who, place, rank, context, told, False)
-        if of[4]:
-            ids, who, place, (rank, context) = _unpack_all(of[4])
-            out += judge(ids, who, place, rank, context, np.zeros(len(who), dtype=bool), True)
-        return pd.DataFrame(out, columns=["kind", "block", "data"])
-
-    def judge(ids, who, place, rank, context, told, spread):
-        order = np.lexsort((ids[who, 0], context, rank))
-        who, place, rank, context, told = who[order], place[order], rank[order], context[order], told[order]
-        doc = ids[who, 0]
+    def pick(batch):
+        columns = [batch.column(k).to_numpy() for k in range(5)]
+        done = columns[4] >> _KIND == RANGE
+        if not done.any():
+            return None, columns
+        lo, _, ids, rks, spot = (c[done] for c in columns)
+        n = len(lo)
+        ranges = _batch(_LISTED, np.ones(n, np.int32), ids, rks, lo, (spot & _PLACE) - lo, np.zeros(n, bool), np.zeros(n, np.int64))
+        return ranges, [c[~done] for c in columns]
+
+    def judged(rank, context, ids, rks, spot, spread):
+        if not len(rank):
+            return []
+        place, told = spot & _PLACE, spot >> _KIND == OPEN
         by_rank, by_context = _runs(rank), _runs(rank, context)
-        least, least_here = _grouped_min(by_rank, doc), _grouped_min(by_context, doc)
-        done = doc > least_here
-        # clipped contexts are as wide as the text allows; their ends are set right against the text
-        out = [(1, *x) for x in _range_rows(ids, who[done], np.maximum(0, place[done] - span), place[done] + WIDTH, blocks)]
+        least, least_here = _grouped_min(by_rank, ids), _grouped_min(by_context, ids)
+        done = ids > least_here
         if spread:  # all are open; the least document of each context may go
-            need = ~done
+            need, hot = ~done, np.ones(len(rank), dtype=bool)
         else:
-            open_ = (doc == least_here) & (doc > least)
+            may_go = ~done & (ids > least)
             group = np.cumsum(by_rank) - 1
-            is_open = np.zeros(group[-1] + 1, dtype=bool)
-            is_open[group[open_ | told]] = True
-            need = (by_context | open_) & is_open[group]  # one holder of each context, all places that may go
-        zero = np.zeros(int(need.sum()), dtype=np.int64)
-        return out + [(2, *x) for x in _range_rows(ids, who[need], place[need], place[need] + zero, blocks)]
+            is_open, is_hot = np.zeros(group[-1] + 1, dtype=bool), np.zeros(group[-1] + 1, dtype=bool)
+            is_open[group[may_go | told]] = True
+            is_hot[group[told]] = True
+            need, hot = (by_context | may_go) & is_open[group], is_hot[group]  # one holder of each context, all places that may go
+        # clipped contexts are as wide as the text allows; their ends are set right against the text
+        lo = np.maximum(0, place - span)
+        out = [(np.full(done.sum(), 1), ids[done], rks[done], lo[done], (place + WIDTH - lo)[done], hot[done], rank[done])]
+        return [*out, (np.full(need.sum(), 2), ids[need], rks[need], place[need], 0 * place[need], hot[need], rank[need])]
 
-    return run
+    def settle(rank, context, ids, rks, spot):
+        spread = spot >> _KIND == SPREAD
+        parts = [x for wide in (False, True) for x in judged(*(c[spread == wide] for c in (rank, context, ids, rks, spot)), wide)]
+        kind, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _batch(_LISTED, kind.astype(np.int32), *columns)
 
+    yield from _streamed(batches, 0, pick, settle)
 
-def _records(blob: bytes) -> int:
-    return int(np.frombuffer(blob, "<i8", 3)[1])
 
+# round 2 ----------------------------------------------------------------------------
 
-def _lists(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Row key -> (starts, lengths) of the packed ranges of a block."""
-    if not len(rows):
-        return {}
-    ids, who, lo, (size,) = _unpack_all(rows["data"])
-    keys = ids[who, 1]
-    order = np.lexsort((lo, keys))
-    keys, lo, size = keys[order], lo[order], size[order].astype(np.int64)
-    cuts = np.flatnonzero(_runs(keys))
-    return {int(keys[a]): (lo[a:b], size[a:b]) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)}
+_CONTEXTS = "kind int, rank long, id long, rk long, lo long, lead int, body binary"
 
 
-def _string_rows(buckets: int, blocks: int):
-    """Round 2, before the shuffle: strings around the needed places, ranked by the pair of their halves."""
-    half = WIDTH // 2
+def _of_rows(rks: np.ndarray, lo: np.ndarray, *more: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """Row key -> columns sorted by `lo`."""
+    if not len(rks):
+        return {}
+    order = np.lexsort((lo, rks))
+    columns = [c[order] for c in (lo, *more)]
+    cuts = np.flatnonzero(_runs(rks[order]))
+    return {int(rks[order[a]]): [c[a:b] for c in columns] for a, b in zip(cuts, [*cuts[1:], len(rks)], strict=True)}
+
 
-    def run(docs: pd.DataFrame, need: pd.DataFrame) -> pd.DataFrame:
-        wanted = _lists(need)
-        docs = docs[docs["rk"].isin(wanted)].drop_duplicates("rk")
-        ids = docs[["id", "rk"]].to_numpy(dtype=np.int64)
-        texts = [t.encode("utf-8", errors="surrogatepass") for t in docs["t"]]
-        found = [[], [], [], []]
-        for data, starts, doc, off in _pieces(texts):
-            h, low, piece, _ = _half_ranks(data, starts)
-            for k, (begin, d, o) in enumerate(zip(starts.tolist(), doc.tolist(), off.tolist(), strict=True)):
-                size = int(starts[k + 1] if k + 1 < len(starts) else len(data)) - begin
-                p = wanted[int(ids[d, 1])][0] - o
-                p = p[(p >= 0) & (p <= size - half)]
-                s = (p[:, None] - np.arange(half + 1)).ravel()
-                q = np.repeat(p, half + 1)
-                fits = (s >= 0) & (s <= size - WIDTH)
-                s, q = s[fits] + begin, q[fits] + begin
-                s = np.unique(s[low[s] == h[q]])
-                first, second = h[s], h[s + half]
-                pair = mix64(first * np.uint64(3) + mix64(second.copy()))
-                found[0].append(np.full(len(s), d))
-                found[1].append(s - begin + o)
-                found[2].append(pair & _LOW48)
-                found[3].append(mix64(pair ^ second) & _LOW48)
-        if not found[0]:
-            return pd.DataFrame([], columns=["bucket", "kind", "block", "data"])
-        who, at, a, b = (np.concatenate(x) for x in found)
-        doc = ids[who, 0]
-        order = np.lexsort((doc, b, a))
-        gone = np.zeros(len(who), dtype=bool)  # the same string in a smaller document of this block
-        gone[order] = doc[order] > _grouped_min(_runs(a[order], b[order]), doc[order])
-        out = [(k % buckets, 1, *x) for k, x in enumerate(_range_rows(ids, who[gone], at[gone], at[gone] + WIDTH, blocks))]
-        where = (a % np.uint64(buckets)).astype(np.int64)
-        order = np.flatnonzero(~gone)
-        order = order[np.lexsort((at[order], who[order], where[order]))]
-        for group in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-            if len(group):
-                out.append((int(where[group[0]]), 0, 0, _pack(ids, who[group], at[group], a[group], b[group])))
-        return pd.DataFrame(out, columns=["bucket", "kind", "block", "data"])
-
-    return run
-
-
-def _second_round(blocks: int):
-    """A bucket of strings: those of a document that is not the smallest one with them."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(1, b, d) for k, b, d in zip(rows["kind"], rows["block"], rows["data"], strict=True) if k == 1]
-        blobs = rows["data"][rows["kind"] == 0]
-        if len(blobs):
-            ids, who, at, (a, b) = _unpack_all(blobs)
-            doc = ids[who, 0]
-            order = np.lexsort((doc, b, a))
-            later = doc[order] > _grouped_min(_runs(a[order], b[order]), doc[order])
-            gone = order[later]
-            gone = gone[np.lexsort((at[gone], who[gone]))]
-            out += [(1, *x) for x in _range_rows(ids, who[gone], at[gone], at[gone] + WIDTH, blocks)]
-        return pd.DataFrame(out, columns=["kind", "block", "data"])
-
-    return run
+def _context_rows(docs: pd.DataFrame, need: pd.DataFrame) -> pd.DataFrame:
+    """A block: the bytes around each needed place, or, of hot ranks, each string of them (kind 0); removed ranges (kind 1)."""
+    span = WIDTH - WIDTH // 2
+    wanted = _of_rows(need["rk"].to_numpy(), need["lo"].to_numpy(), need["hot"].to_numpy(), need["rank"].to_numpy())
+    docs = docs[docs["rk"].isin(wanted)].drop_duplicates("rk").sort_values("id", kind="stable")
+    out, least = [], {}
+    for i, rk, t in zip(docs["id"].tolist(), docs["rk"].tolist(), docs["t"], strict=True):
+        text = t.encode("utf-8", errors="surrogatepass")
+        places, hot, ranks = wanted[rk]
+        single: set[int] = set()
+        for p, h, r in zip(places.tolist(), hot.tolist(), ranks.tolist(), strict=True):
+            begin = max(0, p - span)
+            if h:
+                single.update(range(begin, min(p, len(text) - WIDTH) + 1))
+            else:
+                out.append((0, r, i, rk, p, p - begin, text[begin : p + WIDTH]))
+        for s in sorted(single):
+            body = text[s : s + WIDTH]
+            if least.setdefault(body, i) < i:  # the same string in a smaller document of this block
+                out.append((1, 0, i, rk, s, WIDTH, b""))
+            else:
+                out.append((0, xxh64_intdigest(body, 1) & ((1 << 48) - 1), i, rk, s, 0, body))
+    return pd.DataFrame(out, columns=["kind", "rank", "id", "rk", "lo", "lead", "body"])
+
+
+def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by (rank, id): ranges of strings that also stand in a smaller document."""
+
+    def listed(ids, rks, lo, size):
+        n = len(ids)
+        return _batch(_LISTED, np.ones(n, np.int32), ids, rks, lo, size, np.zeros(n, bool), np.zeros(n, np.int64))
+
+    def pick(batch):
+        kind, rank, ids, rks, lo, lead = (batch.column(k).to_numpy() for k in range(6))
+        body = np.array(batch.column(6).to_pylist() + [None], dtype=object)[:-1]
+        done, columns = kind == 1, (rank, ids, rks, lo, lead.astype(np.int64), body)
+        if not done.any():
+            return None, columns
+        return listed(ids[done], rks[done], lo[done], columns[4][done]), [c[~done] for c in columns]
+
+    def settle(rank, ids, rks, lo, lead, body):
+        sizes = np.fromiter(map(len, body), dtype=np.int64, count=len(body))
+        begin = np.cumsum(sizes) - sizes
+        hashes = window_hashes(np.frombuffer(b"".join(body), dtype=np.uint8), WIDTH)
+        counts = np.maximum(0, np.minimum(lead, sizes - WIDTH) + 1)
+        row = np.repeat(np.arange(len(rank)), counts)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        h = hashes[begin[row] + step]
+        order = np.lexsort((ids[row], h, rank[row]))
+        row, step, h = row[order], step[order], h[order]
+        later = ids[row] > _grouped_min(_runs(rank[row], h), ids[row])
+        row, step = row[later], step[later]
+        # strings around one place overlap: what goes of them is one range
+        order = np.lexsort((step, row))
+        row, step = row[order], step[order]
+        first = np.flatnonzero(_runs(row)) if len(row) else np.zeros(0, dtype=np.int64)
+        last = np.concatenate([first[1:], [len(row)]])[: len(first)] - 1
+        one = row[first]
+        return listed(ids[one], rks[one], lo[one] - lead[one] + step[first], step[last] - step[first] + WIDTH)
+
+    yield from _streamed(batches, 0, pick, settle)
+
+
+# documents --------------------------------------------------------------------------
 
 
 def kept_bytes(text: bytes, lo: np.ndarray, size: np.ndarray) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -395,8 +371,8 @@ def kept_bytes(text: bytes, lo: np.ndarray, size: np.ndarray) -> tuple[bytes, in
 
 
 def _finish(docs: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
-    gone = _lists(ranges)
-    none = (np.zeros(0, dtype=np.int64),) * 2
+    gone = _of_rows(ranges["rk"].to_numpy(), ranges["lo"].to_numpy(), ranges["size"].to_numpy())
+    none = [np.zeros(0, dtype=np.int64)] * 2
     out = []
     for k, none_, rk, t in zip(docs["id"], docs["no_key"], docs["rk"], docs["t"], strict=True):
         text = t.encode("utf-8", errors="surrogatepass")
@@ -411,29 +387,31 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
 
     A byte goes if a 50-byte string over it also starts in a row with a smaller key (a
     long). A null key is larger than any other. Null text counts as empty. Rows that
-    repeat a key do not remove from each other. Strings are compared by 96 bits of
-    hashes. Empty table: empty result.
+    repeat a key do not remove from each other. Strings are compared by hashes of 96 bits
+    and more. Empty table: empty result.
     """
-    spark = docs.sparkSession
-    python_workers(spark)
+    python_workers(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     whole = F.coalesce(F.col(key), F.lit((1 << 63) - 1)).cast("long")
     # the key never goes through pandas beside a null, where it would be a float
     rows = docs.select(F.col(key).isNull().alias("no_key"), whole.alias("id"), body.alias("t"))
     rows = rows.withColumn("rk", F.xxhash64("id", "t").bitwiseAND(F.lit((1 << 63) - 1)))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    buckets, blocks = 1 + total // BUCKET_BYTES, 1 + total // BLOCK_BYTES
-
-    samples = rows.select("id", "rk", "t").mapInPandas(_sample_rows(buckets, blocks), _OUT)
-    listed = "kind int, block long, data binary"
-    first = scratch.keep(samples.groupBy("bucket").applyInPandas(_first_round(blocks), listed))
-    placed = rows.withColumn("block", F.pmod("rk", F.lit(blocks)))
-    need = first.filter("kind = 2").select("block", "data")
-    strings = placed.select("block", "id", "rk", "t").groupBy("block").cogroup(need.groupBy("block")).applyInPandas(
-        _string_rows(buckets, blocks), _OUT
-    )
-    second = scratch.keep(strings.groupBy("bucket").applyInPandas(_second_round(blocks), listed))
-    gone = first.filter("kind = 1").unionAll(second).select("block", "data")
+    blocks = 1 + (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES
+    in_block = F.pmod("rk", F.lit(blocks)).alias("block")
+
+    samples = rows.select("id", "rk", "t").mapInArrow(_sample_rows, ", ".join(f"{c} long" for c in _SAMPLES))
+    kind = F.shiftright("spot", _KIND)
+    deal = F.when(kind == RANGE, F.xxhash64("rk", "rank")).when(kind == SPREAD, F.xxhash64("rank", "context")).otherwise(F.col("rank"))
+    listed = "kind int, id long, rk long, lo long, size long, hot boolean, rank long"
+    first = scratch.keep(samples.repartition(deal).sortWithinPartitions("rank", "context", "id").mapInArrow(_first_round, listed))
+
+    placed = rows.select("*", in_block)
+    need = first.filter("kind = 2").select(in_block, "rk", "lo", "hot", "rank")
+    contexts = placed.select("block", "id", "rk", "t").groupBy("block").cogroup(need.groupBy("block")).applyInPandas(_context_rows, _CONTEXTS)
+    deal = F.when(F.col("kind") == 1, F.xxhash64("rk", "lo")).otherwise(F.col("rank"))
+    second = scratch.keep(contexts.repartition(deal).sortWithinPartitions("rank", "id").mapInArrow(_second_round, listed))
+
+    gone = first.filter("kind = 1").unionAll(second).select(in_block, "rk", "lo", "size")
     schema = "id long, no_key boolean, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
     out = placed.select("block", "id", "no_key", "rk", "t").groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_finish, schema)
     kind = docs.schema[key].dataType.simpleString()

@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -201,10 +203,61 @@ def brute_repeats(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("piece", [2_000_000, 120])
-def test_repeats(spark, piece, monkeypatch):
+def repeats_here(docs, loads):
+    """Both rounds in this process, where constants can be changed: tasks, blocks and batches are as small as can be."""
+    names = ["kind", "id", "rk", "lo", "size", "hot", "rank"]
+    rows = [(k, xxh64_intdigest(str(n), 9) >> 1, (t or "")) for n, (k, t) in enumerate(docs)]
+    frame = lambda batches: pa.Table.from_batches(list(batches)).to_pandas()
+    batches = lambda df, n: pa.Table.from_pandas(df, preserve_index=False).to_batches(max_chunksize=n)
+    loads_of = [rows[k::loads] for k in range(loads)]
+    table_of = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part])], ["id", "rk", "t"])
+    samples = pd.concat([frame(out) for part in loads_of if part and (out := list(suffixes._sample_rows(iter([table_of(part)]))))])
+    kind = samples["spot"] // (1 << 56)
+    deal = np.where(kind == suffixes.SPREAD, (samples["rank"] * 31 + samples["context"]) % 3, np.where(kind == suffixes.RANGE, samples["rk"] % 3, samples["rank"] % 3))
+    first = [frame(suffixes._first_round(iter(batches(p.sort_values(["rank", "context", "id"]), 7)))) for _, p in samples.groupby(deal)]
+    first = pd.concat([f for f in first if len(f)])[names]
+    need, second = first[first["kind"] == 2], []
+    for k in range(3):
+        block = pd.DataFrame([r for r in rows if r[1] % 3 == k], columns=["id", "rk", "t"])
+        second.append(suffixes._context_rows(block, need[need["rk"] % 3 == k]))
+    second = pd.concat(second).astype({"kind": "int32", "rank": "int64", "id": "int64", "rk": "int64", "lo": "int64", "lead": "int32"})
+    done = [frame(suffixes._second_round(iter(batches(p.sort_values(["rank", "id"]), 7)))) for _, p in second.groupby(second["rank"] % 3) if len(p)]
+    gone = pd.concat([first[first["kind"] == 1], *[f for f in done if len(f)]])
+    out = []
+    for k, rk, t in rows:
+        own = gone[gone["rk"] == rk]
+        left, removed, spans = suffixes.kept_bytes(t.encode(), own["lo"].to_numpy(), own["size"].to_numpy())
+        out.append((k, len(t.encode()), removed, len(spans), hashlib.sha256(left).hexdigest()))
+    return sorted(out), samples, first
+
+
+@pytest.mark.parametrize("piece,hot,loads", [(2_000_000, 64, 1), (120, 64, 4), (2_000_000, 2, 1), (120, 2, 5), (300, 1, 3)])
+def test_repeats_in_small_parts(piece, hot, loads, monkeypatch):
     monkeypatch.setattr(suffixes._pieces, "__defaults__", (piece,))
-    rng = random.Random(piece)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "_AT_ONCE", 5)
+    rng = random.Random(piece + hot)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage, edges, base = word(260), [word(40) for _ in range(4)], [word(rng.randint(0, 300)) for _ in range(5)]
+    docs = []
+    for k in range(70):
+        if k % 2:
+            cut = rng.choice([0, 0, 30, 120])
+            t = (rng.choice(edges) if k % 3 else word(60)) + passage[cut : len(passage) - rng.choice([0, 25, 100])] + (rng.choice(edges) if k % 4 else word(60))
+            t += t[20:200] if k % 7 == 0 else ""
+        else:
+            t = "".join((x := rng.choice(base))[(a := rng.randint(0, len(x))) : rng.randint(a, len(x))] + rng.choice("xyz") * rng.choice([0, 0, 70]) for _ in range(rng.randint(0, 5)))
+        docs.append((k * 3, t))
+    docs.append((docs[7][0], docs[7][1]))  # a repeated row
+    rng.shuffle(docs)
+    got, samples, first = repeats_here(docs, loads)
+    assert got == brute_repeats(docs)
+    if hot < 64:
+        assert {suffixes.SPREAD, suffixes.OPEN} <= set((samples["spot"] // (1 << 56)).tolist()) and first["hot"].any()
+
+
+def test_repeats(spark):
+    rng = random.Random(120)
     base = ["".join(rng.choice("abé ") for _ in range(rng.randint(0, 400))) for _ in range(6)]
     docs = []
     for k in range(50):
@@ -231,11 +284,9 @@ def test_repeats_twice_in_one_document(spark):
     assert sorted(map(str, suffixes.remove_repeats(one, Scratch(spark, "t")).collect())) == sorted(map(str, got))
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_repeats_of_a_passage_that_all_share(spark, hot, monkeypatch):
+def test_repeats_of_a_passage_that_all_share(spark):
     """One passage in nearly all documents, each with edges of its own or of a few others."""
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    rng = random.Random(hot)
+    rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, edges = word(300), [word(40) for _ in range(6)]
     docs = []
