@@ -406,16 +406,23 @@ SPARK, DUCK = SparkDialect(), DuckDialect()
 _PLANNED: dict[tuple, Column] = {}
 
 
+def _name(column: Column) -> str | None:
+    """Of a column that is no more than a name, the name; not of one that belongs to a table."""
+    try:
+        node = column._jc.node().toString()
+    except AttributeError:
+        return None
+    found = re.match(r"UnresolvedAttribute\(List\(([^()]*)\),None,false", node)
+    return found and found[1]
+
+
 def planned(rule: Callable) -> Callable:
     """A large rule is built once per named column: building takes a call to the JVM for each part of it."""
 
     @wraps(rule)
     def built(d, *args):
-        if d is not SPARK:
-            return rule(d, *args)
-        names = tuple(str(a) for a in args)
-        # a plain name or literal says all of a column; lambda variables are not told apart by name
-        if not all(re.fullmatch(r"Column<'?[A-Za-z][A-Za-z0-9]*'?>", n) for n in names) or any("lambda" in n.lower() for n in names):
+        names = tuple(_name(a) for a in args) if d is SPARK else (None,)
+        if not all(names):
             return rule(d, *args)
         key = (rule, names, id(SparkContext._gateway))
         if key not in _PLANNED:

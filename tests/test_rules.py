@@ -149,3 +149,11 @@ def test_needles_are_needed():
             for text in ("find and fix a bug in @filename", "does not work", "TODO: we need to", "update-config: use this skill", "bug: memory", "Add a new working directory"):
                 if re.search(p, text, re.I) and needles(p):
                     assert any(x in text.lower() for x in needles(p)), (p, text)
+
+
+def test_rules_are_built_once_for_a_name_only(spark):
+    a, b = (spark.createDataFrame([(x,)], "t string") for x in ("A_TOKEN=x", "B_TOKEN=y"))
+    assert X.redact(SPARK, F.col("t")) is X.redact(SPARK, F.col("t")) and X.redact(SPARK, a["t"]) is not X.redact(SPARK, b["t"])
+    assert [d.select(X.redact(SPARK, d["t"])).first()[0] for d in (a, b)] == ["A_TOKEN=[REDACTED_SECRET]", "B_TOKEN=[REDACTED_SECRET]"]
+    assert a.select(F.transform(F.array("t"), lambda x: X.redact(SPARK, x))).first()[0] == ["A_TOKEN=[REDACTED_SECRET]"]
+    assert P.quality(SPARK, F.col("t"), F.lit("bugs")) is not P.quality(SPARK, F.col("t"), F.col("bugs"))
