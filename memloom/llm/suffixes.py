@@ -42,7 +42,7 @@ from memloom.llm.rolling import _BASE, _BASE_INV, _powers, mix64, sliding, windo
 WIDTH = 50
 #: Bytes of text per block of documents.
 BLOCK_BYTES = 8_000_000
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 #: Contexts of a rank in a load beyond which its samples are spread.
 HOT = 64
 #: Rows that a stream of sorted rows settles at once, at least.
@@ -183,15 +183,15 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rank, context = (rank & _LOW48).astype(np.int64), (context & _LOW48).astype(np.int64)
             order = np.lexsort((all_ids[who], context, rank))
-            who, place, rank, context, lo, hi = (x[order] for x in (who, place, rank, context, lo, hi))
-            ids = all_ids[who]
-            by_rank, by_context = _runs(rank), _runs(rank, context)
-            gone = ids > _grouped_min(by_context, ids)  # the same context in a smaller document of this load
+            ids = all_ids[who[order]]
+            by_rank, by_context = _runs(rank[order]), _runs(rank[order], context[order])
+            gone, kind = np.zeros(len(who), dtype=bool), np.zeros(len(who), dtype=np.int64)
+            gone[order] = ids > _grouped_min(by_context, ids)  # the same context in a smaller document of this load
             contexts = np.add.reduceat(by_context.astype(np.int64), np.flatnonzero(by_rank))[np.cumsum(by_rank) - 1]
-            kind = np.where(contexts <= HOT, SAMPLE, np.where(ids > _grouped_min(by_rank, ids), SPREAD, OPEN))
-            # every place of the least document goes on: another load may hold a smaller one
-            keep = ~gone
-            rows = _batch(_SAMPLES, rank[keep], context[keep], ids[keep], all_rks[who[keep]], place[keep] | kind[keep] << _KIND)
+            kind[order] = np.where(contexts <= HOT, SAMPLE, np.where(ids > _grouped_min(by_rank, ids), SPREAD, OPEN))
+            # every place of the least document goes on: another load may hold a smaller one; in the order of the texts rows compress best
+            keep = np.flatnonzero(~gone)
+            rows = _batch(_SAMPLES, rank[keep], context[keep], all_ids[who[keep]], all_rks[who[keep]], place[keep] | kind[keep] << _KIND)
             yield from (rows.slice(k, _AT_ONCE) for k in range(0, rows.num_rows, _AT_ONCE))
             if gone.any():
                 who, lo, hi = _united(who[gone], lo[gone], hi[gone])
