@@ -42,7 +42,7 @@ from memloom.llm.rolling import _BASE, _BASE_INV, _powers, mix64, sliding, windo
 WIDTH = 50
 #: Bytes of text per block of documents.
 BLOCK_BYTES = 8_000_000
-_CHUNK = 1_000_000
+_CHUNK = 500_000
 #: Contexts of a rank in a load beyond which its samples are spread.
 HOT = 64
 #: Rows that a stream of sorted rows settles at once, at least.
@@ -137,7 +137,7 @@ def _samples(data: np.ndarray, starts: np.ndarray):
     return place, h[place], context, own, lo, hi
 
 
-def _loads(batches: Iterator[pa.RecordBatch], size: int = 3 * _CHUNK) -> Iterator[list]:
+def _loads(batches: Iterator[pa.RecordBatch], size: int = 6 * _CHUNK) -> Iterator[list]:
     """Columns of batches put together up to about `size` characters; `t` is the last one."""
     held, chars = [], 0
     for batch in batches:
@@ -165,7 +165,7 @@ _LISTED = ["kind", "id", "rk", "lo", "size", "hot", "rank"]
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples, and ranges removed on the spot, of rows (id, rk, t)."""
     for all_ids, all_rks, all_texts in _loads(batches):
-        for at, part in bounded_chunks(all_texts, 4 * _CHUNK):
+        for at, part in bounded_chunks(all_texts, 8 * _CHUNK):
             texts = [t.encode("utf-8", errors="surrogatepass") for t in part]
             found = [[], [], [], [], [], []]
             for data, starts, doc, off in _pieces(texts):
