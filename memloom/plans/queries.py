@@ -19,7 +19,7 @@ from memloom.operators.graph import connected_components, numbered
 from memloom.operators.summarize import counts, status, summaries
 from memloom.plans import extract as E
 from memloom.plans.corpus import CORPUS_SQL, transcript_lines, transcripts
-from memloom.plans.session import cut, prepared
+from memloom.plans.session import cut, prepared, spread
 from memloom.sources.sessions import chosen, display_ids, newest, pending
 
 QUERIES: dict = {}
@@ -37,7 +37,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 # scalar functions on documents ------------------------------------------------------

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """UTC, and a checkpoint folder: the cluster's if it names one, our own only on a local machine."""
+    """UTC, and a checkpoint folder: the cluster's if it names one, our own only on a local machine.
+
+    Rules cost far more than the bytes of their texts suggest, so small shuffles are not put
+    together into fewer tasks than there are cores.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -19,3 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in the shared folder."""
     prepared(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores, if it comes in fewer parts than there are: a file of one row group is one task.
+
+    Large tables are left as they are; of small ones the parts that have rows are counted, from file footers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    full = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if full >= cores else df.repartition(cores)
