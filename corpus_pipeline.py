@@ -35,8 +35,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8 or more) the one with the smallest doc_id stays.
 
-    Null ids are larger than any; ties go by a hash of the text. Texts without words are copies of
-    each other; shorter texts are compared by all their words. Empty table: empty result.
+    SimHash and anchor-point covering propose, sets of shingles decide. Null ids are larger than
+    any; ties go by a hash of the text. Texts without words are copies of each other; shorter texts
+    are compared by all their words. Empty table: empty result.
     """
     return near_dedup.keep_one(docs, Scratch(spark, "near"))
 

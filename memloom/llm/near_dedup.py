@@ -1,10 +1,19 @@
-"""Near dedup by the Jaccard similarity of word shingles.
-
-Bands of MinHash values only propose: documents that share a band are linked to the least
-of them, and the components of these links are clusters. A pair of similarity 0.8 shares
-none of BANDS bands of ROWS values with probability (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7;
-more similar pairs less often. Within a cluster shingle sets decide, exactly: its true
-components over pairs of at least the similarity keep one row each.
+"""Near dedup by SimHash and anchor-point covering, decided by the Jaccard similarity of word shingles.
+
+Fingerprints only propose. A bit of the SimHash of two sets of Jaccard similarity s differs
+with a probability of about acos(2s / (1 + s)) / pi at most, 0.151 at 0.8, so 64 bits and a
+small distance lose most pairs; of few shingles up to SMALL times that, 3/16 for 4 of 5. Here a
+fingerprint is long and cut into slices. A slice of 16 bits of a pair of 0.8 differs in at most
+DISTANCE bits with probability 0.557 (4 of 5: 0.400); that none of 23 does has probability 7e-9
+(4 of 5: 8e-6). Larger tables take more and longer slices (`plan`).
+
+Each slice is searched by anchor-point covering as in simhash.py: fingerprints live at home
+anchors of a covering code and visit every anchor in reach of DISTANCE changes. A slice is
+dealt out by its thirds: of DISTANCE changes one third has none, so a pair agrees in it, and
+a task covers the other two thirds of what agrees there. Who meets at an anchor is linked
+if PRINT words of the fingerprints differ in no more bits than a pair of the similarity does,
+6.5 deviations included. Components of these links are clusters. Within a cluster shingle
+sets decide, exactly: its true components over pairs of at least the similarity keep one row each.
 
 A cluster of up to CHUNK shingles is settled in one task. A larger one is dealt out in
 chunks of about that size. Each chunk finds its own components; a few members of the
@@ -12,12 +21,14 @@ largest of each chunk show which of these belong together. What is outside of th
 that so arises meets every chunk. All pairs but those within the giant are so compared,
 and no task holds more than two chunks.
 
-Texts are never shuffled, and shingle sets only of documents that share a band.
+Texts are never shuffled, and shingle sets only of documents that are linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,13 +39,21 @@ from xxhash import xxh64_intdigest
 from memloom.llm.common import KeyFilter, Scratch, drop_rows, packed, python_workers
 from memloom.llm.graph import connected_components
 from memloom.llm.rolling import mix64
+from memloom.llm.simhash import visits
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS = 40, 5
 SEED = 42
-_DRAW = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64)
-_SALT, _ODD = _DRAW[0], _DRAW[1] | np.uint64(1)
+#: Changes of a slice that the covering reaches, how much oftener bits of few shingles differ,
+#: and the probability with which such a pair may differ more in all slices.
+DISTANCE, SMALL, MISSED = 2, 1.24, 1e-5
+#: Words of the fingerprint that links are judged by.
+PRINT = 3
+_PRINTS = [f"p{k}" for k in range(PRINT)]
+_SALT = np.random.default_rng(SEED).integers(0, 1 << 64, size=64, dtype=np.uint64)
 _BLOCK = 128
+#: Rows of a third that a task should have, homes at an anchor beyond which it is crowded, pairs and visitors at once.
+DEAL, CROWD, _PAIRS, _VISITORS = 1 << 16, 64, 1 << 20, 4096
+_TOP = 1 << 20
 #: Shingles that a task compares at once, and members of a chunk's largest component that speak for it.
 CHUNK, SPEAKERS = 2_000_000, 16
 
@@ -53,42 +72,166 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64, count=len(found)))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each band of MinHash values."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+class Plan(NamedTuple):
+    """How fingerprints are cut and dealt out, for a number of documents."""
+
+    bits: int
+    slices: int
+    thirds: list[int]
+    #: of each third: bits that it is dealt out by, and blocks of the code that covers the others
+    dealt: list[int]
+    blocks: list[int]
+    #: bits in which linked fingerprints differ at most: in the first word, and in PRINT words
+    first: int
+    most: int
+
+
+def plan(n: int, percent: int = PERCENT) -> Plan:
+    """Longer slices for larger tables, so that few share an anchor by chance, and so many that a pair is missed with MISSED."""
+    size = math.log2(max(2, n))
+    bits = min(48, max(16, 2 * round((size - 3) / 2)))
+    share = percent / 100
+    flip = math.acos(2 * share / (1 + share)) / math.pi
+    worst = min(0.5, SMALL * flip)
+    near = sum(math.comb(bits, k) * worst**k * (1 - worst) ** (bits - k) for k in range(DISTANCE + 1))
+    slices = max(math.ceil(64 * PRINT / bits), math.ceil(math.log(MISSED) / math.log1p(-near)) if near < 1 else 1)
+    half = bits // 2
+    thirds = [2 * (half // 3 + (k >= 3 - half % 3)) for k in range(3)]
+    dealt = [min(x, max(0, math.ceil(size - math.log2(DEAL)))) for x in thirds]
+    blocks = [min(bits - x, max(2, 2 * round((size - x - 2) / 2))) for x in thirds]
+    first, most = (int(w * flip + 6.5 * math.sqrt(w * flip * (1 - flip))) for w in (64, 64 * PRINT))
+    return Plan(bits, slices, thirds, dealt, blocks, first, most)
+
+
+def long_print(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits, 0 or 1, of a SimHash of `words` words: what over half of the (scrambled) hashes have set.
+
+    The least hash decides ties: without that, few and even hashes would have too many zeros, and be near by chance.
+    """
+    ones = np.zeros(64 * words, dtype=np.int64)
     for k in range(0, len(hashes), _BLOCK):
-        x = hashes[k : k + _BLOCK, None] ^ _SALT
-        x *= _ODD
-        np.minimum(low, x.min(axis=0), out=low)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out
+        h = mix64(hashes[k : k + _BLOCK, None] ^ _SALT[:words])
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+        lead = bits[0] if not k else lead
+    return (2 * ones + lead > len(hashes)).astype(np.uint8)
+
+
+def _without(words: np.ndarray, at: int, size: int) -> np.ndarray:
+    """Words without the `size` bits from bit `at` on."""
+    low = np.uint64((1 << at) - 1)
+    return (words & low) | ((words >> np.uint64(at + size)) << np.uint64(at))
 
 
-def _band_rows(width: int):
+def _dealt_rows(width: int, p: Plan):
+    """Of each document, slice and third a row: where it is dealt to, the slice, and the print."""
+    words = math.ceil(p.slices * p.bits / 64)
+    weights = np.uint64(1) << np.arange(p.bits, dtype=np.uint64)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [bands(shingles(t, width)) for t in rows["t"]]
-            if found:
-                yield pd.DataFrame({"band": np.concatenate(found).view(np.int64), "id": np.repeat(rows["id"].to_numpy(), BANDS)})
+            if not len(rows):
+                continue
+            bits = np.stack([long_print(shingles(t, width), words) for t in rows["t"]])
+            prints = np.packbits(bits[:, : 64 * PRINT], axis=1, bitorder="little").view("<i8")
+            cut = bits[:, : p.slices * p.bits].reshape(len(rows), p.slices, p.bits)
+            slices = (cut * weights).sum(axis=2, dtype=np.uint64)
+            number = np.arange(p.slices, dtype=np.uint64)
+            for third, size in enumerate(p.thirds):
+                value = (slices >> np.uint64(sum(p.thirds[:third]))) & np.uint64((1 << size) - 1)
+                deal = (number * np.uint64(3) + np.uint64(third)) * np.uint64(_TOP) + (value >> np.uint64(size - p.dealt[third]))
+                out = {"deal": deal.ravel().view(np.int64), "id": np.repeat(rows["id"].to_numpy(), p.slices), "word": slices.ravel().view(np.int64)}
+                yield pd.DataFrame(out | {c: np.repeat(prints[:, k], p.slices) for k, c in enumerate(_PRINTS)})
 
     return run
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (band, id), and a band may span batches: each id and the least of its band."""
-    last, least = None, 0
-    for rows in batches:
-        if not len(rows):
-            continue
-        band, ids = rows["band"].to_numpy(), rows["id"].to_numpy()
-        first = np.concatenate([[band[0] != last or last is None], band[1:] != band[:-1]])
-        at = np.maximum.accumulate(np.where(first, np.arange(len(ids)), -1))
-        root = np.where(at >= 0, ids[at], least)
-        apart = ids != root
-        yield pd.DataFrame({"a": ids[apart], "b": root[apart]}).drop_duplicates()
-        last, least = band[-1], root[-1]
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least indices of components, with links (i, j) added."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        for x in (label[i], label[j]):
+            np.minimum.at(label, x, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def _spread(who: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for each i of `who` and each j of its range, some _PAIRS at a time."""
+    n = high - low
+    some = n > 0
+    who, low, n = who[some], low[some], n[some]
+    ends = np.cumsum(n)
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, _PAIRS), "left").tolist() + [len(n)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            m = n[a:b]
+            yield np.repeat(who[a:b], m), np.repeat(low[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
+
+
+def _met(p: Plan):
+    """Rows that agree in (a part of) a third of a slice: a spanning forest (a, b) of the links between those who meet at an anchor."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        third = int(rows["deal"].iloc[0]) // _TOP % 3
+        size, at, blocks = p.thirds[third], sum(p.thirds[:third]), p.blocks[third]
+        words = rows["word"].to_numpy().view(np.uint64)
+        agreed = ((words >> np.uint64(at)) & np.uint64((1 << size - p.dealt[third]) - 1)) << np.uint64(blocks)
+        others, free = _without(words, at, size), p.bits - size
+        homes = agreed | visits(others, blocks, 0, free)[0]
+        order = np.argsort(homes, kind="stable")
+        homes, agreed, others = homes[order], agreed[order], others[order]
+        ids, prints = rows["id"].to_numpy()[order], [rows[c].to_numpy()[order].view(np.uint64) for c in _PRINTS]
+        starts = np.searchsorted(homes, np.arange((1 << blocks + size - p.dealt[third]) + 1, dtype=np.uint64))
+        label = np.arange(len(rows))
+
+        def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = np.bitwise_count(prints[0][i] ^ prints[0][j])
+            some = np.flatnonzero(d <= p.first)
+            i, j, d = i[some], j[some], d[some].astype(np.int64)
+            for x in prints[1:]:
+                d += np.bitwise_count(x[i] ^ x[j])
+            return i[d <= p.most], j[d <= p.most]
+
+        def reached(visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(visitor, anchor) up to the own home: of a pair one visits the other."""
+            anchors, who, _ = visits(others[visitors], blocks, DISTANCE, free)
+            who = visitors[who]
+            anchors = anchors | agreed[who]
+            up = anchors <= homes[who]
+            return who[up], anchors[up].astype(np.int64)
+
+        crowded = np.diff(starts) > CROWD
+        if crowded.any():  # links to one of each crowded anchor tell which pairs need no comparison
+            rng, there = np.random.default_rng(SEED), np.flatnonzero(crowded)
+            members = np.flatnonzero(crowded[homes.astype(np.int64)])
+            for _ in range(4):
+                pick = np.zeros(len(crowded), dtype=np.int64)
+                pick[there] = rng.integers(starts[there], starts[there + 1])
+                label = _joined(label, *near(members, pick[homes[members].astype(np.int64)]))
+                who, anchor = reached(pick[there])
+                label = _joined(label, *near(who[crowded[anchor]], pick[anchor[crowded[anchor]]]))
+        # homes of an anchor stand by their label, and a visitor passes over those of its own
+        named = label.copy()
+        by = np.lexsort((named, homes))
+        place = homes[by].astype(np.int64) * len(rows) + named[by]
+        for k in range(0, len(rows), _VISITORS):
+            who, anchor = reached(np.arange(k, min(k + _VISITORS, len(rows))))
+            low, high = starts[anchor], starts[anchor + 1]
+            full = crowded[anchor]
+            own = anchor[full] * len(rows) + named[who[full]]
+            mid = high.copy()
+            mid[full] = np.searchsorted(place, own, "left")
+            after = np.searchsorted(place, own, "right")
+            for i, j in _spread(np.concatenate([who, who[full]]), np.concatenate([low, after]), np.concatenate([mid, high[full]])):
+                label = _joined(label, *near(i, by[j]))
+        out = pd.DataFrame({"a": ids, "b": ids[label]})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return run
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -223,8 +366,10 @@ def keep_one(
     """
     python_workers(docs.sparkSession)
     rows = packed(docs, _id=F.xxhash64(F.col(key), F.col(text)), _text=F.col(text))
-    found = rows.select(F.col("_id").alias("id"), F.col("_text").alias("t")).mapInPandas(_band_rows(width), "band long, id long")
-    links = found.repartition("band").sortWithinPartitions("band", "id").mapInPandas(_stars, "a long, b long")
+    p = plan(docs.count(), percent)
+    found = rows.select(F.col("_id").alias("id"), F.col("_text").alias("t"))
+    found = found.mapInPandas(_dealt_rows(width, p), f"deal long, id long, word long, {', '.join(f'{c} long' for c in _PRINTS)}")
+    links = found.groupBy("deal").applyInPandas(_met(p), "a long, b long")
     clusters = connected_components(scratch.keep(links.distinct()), scratch)
     clusters = scratch.keep(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct()))
 

@@ -70,11 +70,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 # anchors ----------------------------------------------------------------------------
 
 
-def block_lengths(blocks: int) -> list[int]:
-    """64 bits as an even number of blocks of odd, nearly equal length."""
-    short = 64 // blocks
+def block_lengths(blocks: int, bits: int = 64) -> list[int]:
+    """An even number of bits as an even number of blocks of odd, nearly equal length."""
+    short = bits // blocks
     short -= 1 - short % 2
-    longer = (64 - blocks * short) // 2
+    longer = (bits - blocks * short) // 2
     return [short + 2] * longer + [short] * (blocks - longer)
 
 
@@ -88,9 +88,9 @@ def _weights(fps: np.ndarray, lengths: list[int]) -> np.ndarray:
     return out
 
 
-def visits(fps: np.ndarray, blocks: int, distance: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def visits(fps: np.ndarray, blocks: int, distance: int = 2, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint, home?) of each fingerprint and anchor in its reach."""
-    lengths = np.array(block_lengths(blocks), dtype=np.int8)
+    lengths = np.array(block_lengths(blocks, bits), dtype=np.int8)
     ones = _weights(fps, lengths.tolist())
     major = ones * 2 > lengths
     bit = np.uint64(1) << np.arange(blocks, dtype=np.uint64)

@@ -163,6 +163,46 @@ def test_near_copies_from_0_8(spark):
     assert near_dedup.keep_one(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def near_links(texts, p, batch=100):
+    """What the anchors of all slices link, in this process: the least index of each component."""
+    frames = (pd.DataFrame({"id": np.arange(k, min(k + batch, len(texts))), "t": texts[k : k + batch]}) for k in range(0, len(texts), batch))
+    rows = pd.concat(near_dedup._dealt_rows(near_dedup.WIDTH, p)(frames))
+    links = pd.concat([near_dedup._met(p)(group) for _, group in rows.groupby("deal")])
+    return near_dedup._joined(np.arange(len(texts)), links["a"].to_numpy(), links["b"].to_numpy())
+
+
+@pytest.mark.parametrize("size,changed", [(9, None), (13, [12]), (184, [20, 60, 100, 140])])
+def test_near_copies_meet_at_anchors(size, changed):
+    """Pairs of a similarity of just 0.8, each apart from all others: SimHash and its anchors propose every one, and little else."""
+    rng = random.Random(size)
+    texts = []
+    for _ in range(200):
+        x = [f"w{rng.randrange(100_000)}" for _ in range(size)]
+        y = x[:-1] if changed is None else [f"v{rng.randrange(100_000)}" if k in changed else w for k, w in enumerate(x)]
+        texts += [" ".join(x), " ".join(y)]
+    for n in (len(texts), 400_000):  # the plan of a larger table deals out more finely
+        root = near_links(texts, near_dedup.plan(n)).reshape(-1, 2)
+        assert (root[:, 0] == root[:, 1]).all() and len(np.unique(root)) > 195
+
+
+def test_near_copies_at_crowded_anchors(monkeypatch):
+    """Passing over what is linked already loses no link."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(3)]
+    texts = []
+    for k in range(900):
+        x = list(bases[k % 3] if k % 10 else [rng.choice(words) for _ in range(60)])
+        x[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(x))
+    p, found = near_dedup.plan(len(texts)), []
+    for crowd, pairs in ((1 << 40, 1 << 20), (8, 100)):
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        monkeypatch.setattr(near_dedup, "_PAIRS", pairs)
+        found.append(near_links(texts, p))
+    assert (found[0] == found[1]).all() and len(np.unique(found[0])) == 93
+
+
 def test_near_copies_of_a_large_cluster(spark):
     """One template, copies of copies of it, and families within the cluster that are not near."""
     rng = random.Random(11)
