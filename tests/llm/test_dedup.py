@@ -223,6 +223,28 @@ def test_near_copies_of_a_large_cluster(spark):
         assert sorted((str(r.doc_id), r.text) for r in left) == want, chunk
 
 
+def test_near_copies_of_one_family_are_linked_few_times(spark, monkeypatch):
+    """The links of a family are a few for each text, not some for each text and slice; twice the texts, about twice the links."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    base, given, per_text = [rng.choice(words) for _ in range(100)], [], []
+    components = near_dedup.connected_components
+    monkeypatch.setattr(near_dedup, "connected_components", lambda links, scratch: given.append(links.count()) or components(links, scratch))
+    for n in (200, 400):
+        rows = []
+        for k in range(n):
+            text = list(base)
+            for _ in range(rng.randint(1, 4)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((2 * n - k, " ".join(text)))
+        rows += [(k, " ".join(rng.choice(words) for _ in range(100))) for k in range(20)]
+        given.clear()
+        left = near_dedup.keep_one(frame(spark, rows), Scratch(spark, "t")).collect()
+        assert sorted((str(r.doc_id), r.text) for r in left) == brute_near(rows)
+        per_text.append(sum(given) / n)
+    assert max(per_text) < 6 and per_text[1] < 1.5 * per_text[0]
+
+
 def brute_repeats(docs):
     first: dict = {}
     for d, t in docs:
