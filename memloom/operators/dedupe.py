@@ -14,6 +14,8 @@ from memloom.plans.session import cut
 
 #: Characters of the grams that block containment.
 GRAM = 5
+#: Rows of a scope that are compared with each other as they are, without grams.
+FEW = 500
 
 
 def exact_distinct(items: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
@@ -28,9 +30,31 @@ def _grams(width: int):
     return F.array_distinct(F.transform(starts, lambda i: F.substring("norm", i, F.lit(width))))
 
 
-def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
+def _sizes(items: DataFrame, scope: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
+    """(scopes of up to `few` rows, larger ones if there are any)."""
+    sizes = cut(items.groupBy(*scope).agg(F.count(F.lit(1)).alias("_rows")))
+    large = sizes.filter(F.col("_rows") > few).select(*scope)
+    return sizes.filter(F.col("_rows") <= few).select(*scope), None if large.isEmpty() else large
+
+
+def contained(items: DataFrame, scope: list[str], order: str = "ord", few: int = FEW) -> DataFrame:
     """Rows whose normal form stands inside a longer one of their scope are dropped.
 
+    Rows of a scope of up to `few` are compared with each other, those of a larger one by grams.
+    """
+    small, large = _sizes(items, scope, few)
+    lists = items.join(small, scope, "left_semi").groupBy(*scope).agg(F.collect_list("norm").alias("_all"))
+    inside = F.exists("_all", lambda x: (F.length(x) > F.length("norm")) & F.contains(x, F.col("norm")))
+    kept = items.join(lists, scope, "left").filter(~F.coalesce(inside, F.lit(False))).select(*items.columns)
+    if large is None:
+        return kept
+    hits = _contained_by_grams(items.join(large, scope, "left_semi"), scope, order)
+    return kept.join(hits, [*scope, "norm"], "left_anti").select(*items.columns)
+
+
+def _contained_by_grams(items: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """(scope, norm) of rows whose normal form stands inside a longer one of their scope.
+
     A contained form has all its grams in the container: each row looks for containers
     through the rarest of its own grams, by an equi-join.
     """
@@ -51,7 +75,7 @@ def contained(items: DataFrame, scope: list[str], order: str = "ord") -> DataFra
         some = rows.filter("_n > 0").groupBy(*scope).agg(F.max("norm").alias("_big"))
         offers = offers.unionAll(some.select(*scope, "_big", F.lit(1).alias("_w"), F.lit("").alias("_g")))
     hits = probe.join(offers, [*scope, "_w", "_g"]).filter((F.length("_big") > F.col("_n")) & F.contains("_big", "norm"))
-    return items.join(hits.select(*scope, "norm").distinct(), [*scope, "norm"], "left_anti").select(*items.columns)
+    return hits.select(*scope, "norm").distinct()
 
 
 def bigrams(norm):
@@ -63,9 +87,30 @@ def bigrams(norm):
     return F.element_at(F.transform(F.array(sorted_), numbered), 1)
 
 
-def similar_pairs(items: DataFrame, scope: list[str], order: str = "ord", percent: int = SIMILAR_PERCENT) -> DataFrame:
+def _close(percent: int):
+    """Of rows with sizes na and nb: whether these allow for a Dice of `percent` / 100."""
+    return (F.col("a") < F.col("b")) & (F.col("na") * (200 - percent) >= F.col("nb") * percent) & (F.col("nb") * (200 - percent) >= F.col("na") * percent)
+
+
+def similar_pairs(items: DataFrame, scope: list[str], order: str = "ord", percent: int = SIMILAR_PERCENT, few: int = FEW) -> DataFrame:
     """(scope, a, b) with a < b in order: pairs whose bigram Dice is at least `percent` / 100.
 
+    Rows of a scope of up to `few` are compared with each other, those of a larger one by rare bigrams.
+    """
+    small, large = _sizes(items, scope, few)
+    lists = items.join(small, scope, "left_semi").select(*scope, F.col(order).alias("o"), F.explode(F.array(bigrams(F.col("norm")))).alias("_b"))
+    lists = cut(lists.withColumn("n", F.size("_b")).filter("n > 0"))
+    a, b = (lists.withColumnsRenamed({"o": x, "_b": f"b{x}", "n": f"n{x}"}) for x in "ab")
+    shared = F.size(F.array_intersect("ba", "bb"))
+    pairs = a.join(b, scope).filter(_close(percent)).filter(shared * 200 >= (F.col("na") + F.col("nb")) * percent).select(*scope, "a", "b")
+    if large is None:
+        return pairs
+    return pairs.unionByName(_similar_by_bigrams(items.join(large, scope, "left_semi"), scope, order, percent))
+
+
+def _similar_by_bigrams(items: DataFrame, scope: list[str], order: str, percent: int) -> DataFrame:
+    """The pairs of large scopes.
+
     Two similar lists share a bigram among the rarest few of either (prefix filter), so pairs
     come from an equi-join on those; the exact test is in whole numbers.
     """
@@ -78,8 +123,7 @@ def similar_pairs(items: DataFrame, scope: list[str], order: str = "ord", percen
     look = F.slice("_r", F.lit(1), (F.col("_n") - least + 1).cast("int"))
     keys = ranked.filter("_n > 0").select(*scope, F.col(order).alias("o"), "_n", F.explode(F.transform(look, lambda x: x["_g"])).alias("_g"))
     a, b = keys.withColumnsRenamed({"o": "a", "_n": "na"}), keys.withColumnsRenamed({"o": "b", "_n": "nb"})
-    close = (F.col("a") < F.col("b")) & (F.col("na") * (200 - percent) >= F.col("nb") * percent) & (F.col("nb") * (200 - percent) >= F.col("na") * percent)
-    found = a.join(b, [*scope, "_g"]).filter(close).select(*scope, "a", "b").distinct()
+    found = a.join(b, [*scope, "_g"]).filter(_close(percent)).select(*scope, "a", "b").distinct()
     lists = rows.select(*scope, F.col(order).alias("o"), "_b")
     found = found.join(lists.withColumnsRenamed({"o": "a", "_b": "ba"}), [*scope, "a"]).join(lists.withColumnsRenamed({"o": "b", "_b": "bb"}), [*scope, "b"])
     shared = F.size(F.array_intersect("ba", "bb"))
