@@ -47,6 +47,16 @@ def test_small_scopes_agree_with_grams(spark):
     assert few == many and few
 
 
+def test_forms_of_all_lengths_are_found_in_large_scopes(spark):
+    words = [f"w{(k * k * 7919) % 9973}" for k in range(400)]
+    texts = [" ".join(words[k : k + n]) for k in range(0, 380, 7) for n in (1, 2, 4, 7, 12, 19)]
+    rows = spark.createDataFrame([("x", k, t[k % 3 :]) for k, t in enumerate(texts)], "scope string, ord long, text string")
+    exact = D.exact_distinct(rows, ["scope"])
+    norms = [r.norm for r in exact.collect()]
+    want = sorted(a for a in norms if not any(len(b) > len(a) and a in b for b in norms))
+    assert sorted(r.norm for r in D.contained(exact, ["scope"], few=0).collect()) == want and len(want) < len(norms)
+
+
 def test_first_resolver_is_the_least_of_all_pairs(spark):
     words = ["parser", "cache", "token", "login", "queue", "code", "fence", "index", "mail"]
     texts = [" ".join(words[(k * j) % 9] for j in range(1, 2 + k % 6)) for k in range(40)]
